@@ -34,7 +34,7 @@ LEAST_AGREEING = 3
 #: Keys with at most this many members are finished by a join of pairs, larger ones in blocks.
 SMALL_KEY = 16
 #: A block holds about so many sets, or so many shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 19
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 class Plan:
@@ -194,21 +194,22 @@ def _block_links(part: pd.DataFrame, percent: int, size: int) -> tuple[np.ndarra
     term, at, times = np.unique(flat, return_inverse=True, return_counts=True)
     shared = times[at] > 1
     at, row = (np.cumsum(times > 1) - 1)[at[shared]], row[shared]
-    inter = np.zeros((m, m), dtype=np.float32)
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
-    width = max(1024, (1 << 22) // max(m, 1))
+    one = np.flatnonzero(block == part["bi"].iloc[0])
+    two = np.flatnonzero(block == part["bj"].iloc[0])
+    inter = np.zeros((len(one), len(two)), dtype=np.float32)
+    width = max(1024, (1 << 21) // max(m, 1))
     for lo in range(0, int((times > 1).sum()), width):
         a, b = np.searchsorted(at, (lo, lo + width))
         dense = np.zeros((m, width), dtype=np.float32)
         dense[row[a:b], at[a:b] - lo] = 1
-        inter += dense @ dense.T
-    inter = inter.astype(np.int64)
-    ok = (100 * inter >= percent * (n[:, None] + n[None, :] - inter)) & (comp[:, None] != comp[None, :])
-    ok &= (block[:, None] != block[None, :]) if cross else np.triu(np.ones((m, m), dtype=bool), 1)
-    x, y = np.nonzero(ok)
-    upper = x < y
-    x, y = x[upper], y[upper]
+        inter += dense[one] @ dense[two].T
+    both = n[one][:, None] + n[two][None, :]
+    x, y = np.nonzero((100 * inter >= percent * (both - inter)) & (comp[one][:, None] != comp[two][None, :]))
+    x, y = one[x], two[y]
+    if not cross:
+        x, y = x[x < y], y[x < y]
     first = (sig[x, :size] == sig[y, :size]).argmax(axis=1) == i
     return node[x[first]], node[y[first]]
 
