@@ -20,9 +20,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from . import audit, structure, temporal, textual  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: s for k, (_, s) in _QUERIES.items() if s}
