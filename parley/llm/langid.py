@@ -110,14 +110,15 @@ class Model:
         for lang in self.langs:
             seq = self.alphabet.symbols(["\n".join(texts[lang])])[0][:bound].tolist()
             go = suffix_automaton(seq)
-            table = np.empty((len(go), width), dtype=np.int32)
-            table[:] = 1  # failed: the root, and a phrase ended
+            # state * 4 + phrases that end: a failed symbol begins a new phrase, or is one if the root fails too
+            table = np.full((len(go), width), 2, dtype=np.int32)
+            table[0] = 1
             for c, q in go[0].items():
-                table[:, c] = (q << 1) | 1
+                table[:, c] = (q << 2) | 1
             for s, edges in enumerate(go):
                 for c, q in edges.items():
-                    table[s, c] = q << 1
-            tables.append(table + (base << 1))
+                    table[s, c] = q << 2
+            tables.append(table + (base << 2))
             self.roots.append(base)
             self.cost.append(np.log2(max(2, len(seq))))
             base += len(go)
@@ -143,9 +144,9 @@ class Model:
         live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
         for step, n in enumerate(live.tolist()):
             x = self.table.take(state[:, :n] * np.int32(width) + code[start[:n] + step])
-            ended[:, :n] += x & 1
-            state[:, :n] = x >> 1
-        ended += 1  # the phrase that the block's end cut off
+            ended[:, :n] += x & 3
+            state[:, :n] = x >> 2
+        ended += state != np.array(self.roots, dtype=np.int32)[:, None]  # the phrase that the block's end cut off
         for j in range(len(self.langs)):
             count[:, j] = np.bincount(owner, ended[j], len(texts))
         return count, size

@@ -5,6 +5,8 @@ its size, the excess reshared.  A source is repeated whole as often as its targe
 holds it; for the rest, documents are chosen so that their sizes come to it: the few
 that are large for their source one by one, the many others by a threshold on their
 hashed position, found by histograms of 1024 bins that narrow until a bin is small.
+Where whole documents cannot come to the target, because one holds much of its source,
+one large document is taken in part: its leading words, as many as are missing.
 
 Positions cut each source into blocks, which are random sets of documents.  How many
 blocks of each source every output shard gets is drawn by a tree: at each node the
@@ -60,8 +62,8 @@ def targets(sizes: list[int], weights: tuple = (1, 2, 3), cap: int = 3) -> list[
     return out
 
 
-def subset(sizes: list[int], goal: float, rng: np.random.Generator, tries: int = 64) -> list[int]:
-    """Indices whose sizes come near ``goal``: the best of some first-fit fillings in random order."""
+def subset(sizes: list[int], goal: float, rng: np.random.Generator, over: bool = True, tries: int = 64) -> list[int]:
+    """Indices whose sizes come near ``goal``, above it only if ``over``: the best of some first-fit fillings in random order."""
     best: tuple[float, list[int]] = (goal, [])
     for _ in range(tries):
         left, picked, least = goal, [], None
@@ -71,7 +73,7 @@ def subset(sizes: list[int], goal: float, rng: np.random.Generator, tries: int =
                 picked.append(i)
             elif least is None or sizes[i] < sizes[least]:
                 least = i
-        if least is not None and sizes[least] - left < left:
+        if over and least is not None and sizes[least] - left < left:
             picked, left = [*picked, least], sizes[least] - left
         if left < best[0]:
             best = (left, picked)
@@ -136,27 +138,34 @@ class Mix:
         rng = np.random.default_rng(self.seed)
         need = [i for i, r in enumerate(self.rest) if r >= 1]
         self.picked: list[tuple[int, int]] = []
+        self.cut: list[tuple[int, int, int]] = []
         self.below = [0] * len(self.src)
         if not need:
             return
         part = settle(self._by_source(rows.where("size > 0").select("src", "u", "size"), "total long", [(i, (self.size[i],)) for i in need]).drop("src"))
-        large = part.where(F.col("size") * LARGE > F.col("total")).groupBy("i", "u").agg(F.sum("size").alias("size")).collect()
+        large = part.where(F.col("size") * LARGE > F.col("total")).groupBy("i", "u").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
         by: dict[int, list] = {i: [] for i in need}
         for r in large:
-            by[r["i"]].append((r["u"], int(r["size"])))
+            by[r["i"]].append((r["u"], int(r["size"]), int(r["n"])))
         left = {}
         for i in need:
             docs = sorted(by[i])
-            sizes = [s for _, s in docs]
+            sizes = [s for _, s, _ in docs]
             small = self.size[i] - sum(sizes)
             goal = self.rest[i] - small * self.rest[i] / self.size[i]
-            chosen = subset(sizes, goal, rng) if docs else []
+            chosen = subset(sizes, goal, rng, over=False) if docs else []
             self.picked += [(i, docs[k][0]) for k in chosen]
-            left[i] = min(float(small), max(0.0, self.rest[i] - sum(sizes[k] for k in chosen)))
+            left[i] = max(0.0, self.rest[i] - sum(sizes[k] for k in chosen))
+            if left[i] > small:
+                others = [k for k in range(len(docs)) if k not in set(chosen) and sizes[k] >= left[i] - small]
+                if others:
+                    k = min(others, key=lambda k: (sizes[k], docs[k][0]))
+                    self.cut.append((i, docs[k][0], int(left[i] - small) // docs[k][2]))
+                left[i] = float(small)
         part = part.where(F.col("size") * LARGE <= F.col("total")).select("i", "u", "size")
         span = {i: (0, GRID) for i in need if left[i] >= 1}
         for i in need:
-            if left[i] >= self.size[i] - sum(s for _, s in by[i]) - 0.5:
+            if left[i] >= self.size[i] - sum(s for _, s, _ in by[i]) - 0.5:
                 span.pop(i, None)  # all of them
                 self.below[i] = GRID
                 left[i] = 0.0
@@ -194,7 +203,7 @@ class Mix:
         while sum(-(-n // size) * (r + 1) for n, r in zip(counts, self.repeats, strict=True)) > MAX_BLOCKS:
             size *= 2
         self.blocks = [max(1, -(-n // size)) for n in counts]
-        chosen = {i for i, _ in self.picked}
+        chosen = {i for i, _ in self.picked} | {i for i, _, _ in self.cut}
         part = [max(int(i in chosen), -(-self.below[i] * b // GRID)) for i, b in enumerate(self.blocks)]
         self.part = part
         quota = np.array([r * b + p for r, b, p in zip(self.repeats, self.blocks, part, strict=True)], dtype=np.int64)
@@ -209,27 +218,28 @@ class Mix:
             self.turn.append((a, int(rng.integers(0, q)), q))
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with source_size, target, copies, taken and the shard of each copy."""
+        """``rows`` with source_size, target, copies, part (words of one more, partial copy), taken and the shard of each copy."""
         side = [
             (i, s, self.size[i], self.target[i], self.repeats[i], self.below[i], self.blocks[i], max(1, self.part[i]), *self.turn[i], np.cumsum(self.allotted[:, i]).tolist())
             for i, s in enumerate(self.src)
         ]
         side = self._frame("i_ int, src_ string, source_size long, target double, r_ int, below_ long, b_ long, p_ long, a_ long, c_ long, q_ long, ends_ array<long>", side)
         x = rows.join(side, rows["src"].eqNullSafe(side["src_"]))
-        x = x.join(self._frame("i_ int, u long, picked_ boolean", [(i, u, True) for i, u in self.picked]), ["i_", "u"], "left")
+        by_hand = [(i, u, True, 0) for i, u in self.picked] + [(i, u, False, n) for i, u, n in self.cut]
+        x = x.join(self._frame("i_ int, u long, picked_ boolean, part long", by_hand), ["i_", "u"], "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
         large = F.col("size") * LARGE > F.col("source_size")
         extra = (F.col("size") > 0) & (F.coalesce("picked_", F.lit(False)) | (~large & (F.col("u") < F.col("below_"))))
         copies = F.when(F.col("size") > 0, F.col("r_") + extra.cast("int")).otherwise(F.lit(0))
-        x = x.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+        x = x.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
         block = F.expr(f"(u DIV {BINS}) * b_ DIV {GRID // BINS}")
         x = x.withColumn("block_", block)
         shard = "SIZE(FILTER(ends_, e -> e <= (a_ * (p * b_ + IF(p < r_, block_, block_ % p_)) + c_) % q_))"
-        x = x.withColumn("shards", F.expr(f"IF(copies > 0, TRANSFORM(SEQUENCE(0, copies - 1), p -> {shard}), CAST(ARRAY() AS ARRAY<INT>))"))
+        x = x.withColumn("shards", F.expr(f"IF(taken > 0, TRANSFORM(SEQUENCE(0, copies - 1 + IF(part > 0, 1, 0)), p -> {shard}), CAST(ARRAY() AS ARRAY<INT>))"))
         return x.drop("i_", "u", "src_", "r_", "below_", "b_", "p_", "a_", "c_", "q_", "ends_", "picked_", "block_")
 
 
 def mix(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 9) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards."""
+    """One row per document: doc_id, source, size, source_size, target, copies, part, taken, shards."""
     rows = settle(measured(docs, seed, ("doc_id",)))
     return Mix(rows, weights, cap, shards, seed).apply(rows).withColumnRenamed("src", "source")
 
@@ -239,16 +249,17 @@ def mixed(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, shards: int
     (whole,) = fresh(docs, "whole")
     plan = Mix(settle(measured(docs, seed, ("doc_id",))), weights, cap, shards, seed)
     out = plan.apply(measured(docs, seed, (F.struct(*docs.columns).alias(whole),))).drop("src")
-    added = ["size", "source_size", "target", "copies", "taken", "shards"]
+    added = ["size", "source_size", "target", "copies", "part", "taken", "shards"]
     return out.select(F.col(whole + ".*"), *[F.col(a).alias(b) for a, b in zip(added, fresh(docs, *added), strict=True)])
 
 
 def shards_of(docs: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 9) -> DataFrame:
-    """The mix itself: one row per copy, in order of shard and of a random place in the shard, all columns of ``docs`` with shard."""
-    (whole, name) = fresh(docs, "whole", "shard")
+    """The mix itself: one row per copy, in order of shard and of a random place in the shard, all columns of ``docs`` with shard and the number of words taken."""
+    (whole, name, number) = fresh(docs, "whole", "shard", "words")
     rows = measured(docs, seed, ("doc_id", F.struct(*docs.columns).alias(whole)))
     plan = Mix(settle(measured(docs, seed, ("doc_id",))), weights, cap, shards, seed)
-    out = plan.apply(rows).select(whole, F.posexplode("shards").alias("copy_", name))
+    out = plan.apply(rows).select(whole, "size", "copies", "part", F.posexplode("shards").alias("copy_", name))
+    out = out.withColumn(number, F.when(F.col("copy_") < F.col("copies"), F.col("size")).otherwise(F.col("part")))
     place = F.xxhash64(F.lit(seed), name, "copy_", F.col(whole)["doc_id"], F.col(whole)["text"])
     out = out.withColumn("place_", place).repartitionByRange(name, "place_").sortWithinPartitions(name, "place_")
-    return out.select(F.col(whole + ".*"), name)
+    return out.select(F.col(whole + ".*"), name, number)

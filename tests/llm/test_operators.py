@@ -1,0 +1,339 @@
+"""Corpus operators against brute force, round trips and held-out labels, and on defined odd inputs."""
+
+import gzip
+import io
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from parley.llm import decontam, langid, licenses, minhash, mixing, neighbours, pii, quality, queries, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, Score double, size string, kept int, spans string, number int"
+
+
+def odd_documents(spark):
+    long = "word of the long text " * 20_000
+    rows = [
+        (1, None, None, None, None),
+        (2, "", "en", "a", 0),
+        (3, "   \n\t ", "en", None, 6),
+        (4, "the same words stand here twice in all", "en", "a", 38),
+        (4, "the same words stand here twice in all", "en", "a", 38),
+        (5, "the same words stand here twice in all", None, "b", 38),
+        (None, "the same words stand here twice in all", "en", "b", 38),
+        (6, long, "en", "b", len(long)),
+        (7, "été à la plage | 🙂 !!", "fr", "", 20),
+        (8, "!!! ??? 123", "fr", "c", 11),
+        (None, None, "fr", "c", 0),
+    ]
+    return spark.createDataFrame([(*r, 0.5, "x", 1, "y", 2) for r in rows], DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet")
+
+
+# -- odd inputs ------------------------------------------------------------------------------------------------------
+
+
+def test_odd_documents(spark, docs, labels):
+    odd = odd_documents(spark)
+    for d in (odd, odd.limit(0)):
+        n = d.count()
+        tox = toxicity.train(docs, labels)
+        assert toxicity.toxicity(d, tox).where("score BETWEEN 0 AND 1").count() == n
+        assert toxicity.without_toxic(d, tox).columns == d.columns
+        q = quality.train(docs, labels)
+        assert quality.quality(d, q).where("score BETWEEN 0 AND 1").count() == n
+        lang = langid.identify(d, langid.train(docs))
+        assert lang.count() == n
+        found = decontam.digest(decontam.contamination(d, spark.read.parquet(f"{SF}/benchmark.parquet")))
+        assert found.count() == n
+        assert decontam.without_contaminated(d, spark.read.parquet(f"{SF}/benchmark.parquet")).columns == d.columns
+        assert pii.pseudonymized(d, b"k").count() == n
+        assert licenses.licenses(d, licenses.train(docs)).count() == n
+        assert mixing.mix(d).count() == n
+        assert mixing.mixed(d).columns[: len(d.columns)] == d.columns
+        assert minhash.near_duplicates(d).count() == n
+    und = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, langid.train(docs)).collect()}
+    assert und[1] == und[2] == und[3] == und[8] == "und" and und[7] != "und"
+    near = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd).collect()), key=str)
+    assert (5, 4, False) in near and near.count((4, 4, True)) == 2 and (None, 4, False) in near and (3, 3, True) in near
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ["1", "2", "3", "4", "6", "7", "8", "None"]
+
+
+def test_training_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    odd = odd_documents(spark)
+    assert {r["score"] for r in quality.quality(odd, quality.train(docs, none)).collect()} == {0.0}
+    assert all(r["score"] < 1e-6 for r in toxicity.toxicity(odd, toxicity.train(docs, none)).collect())
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.train(odd.limit(0))).collect()} == {"und"}
+
+
+def test_empty_benchmark(spark, docs):
+    none = spark.createDataFrame([(1, None), (2, ""), (None, "...")], "item_id long, text string")
+    assert decontam.contamination(docs, none).where("n_hit > 0").count() == 0
+
+
+# -- classifiers -----------------------------------------------------------------------------------------------------
+
+
+def held(rows, n, k):
+    return [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % n == k]
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    label = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for name, of, n, k, least in (("op1_toxicity", "toxic", 5, 0, 0.9), ("op6_quality", "quality", 4, 2, 0.93)):
+        rows = queries.queries()[name](spark, sf).collect()
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % n == k) for r in rows)
+        some = [r for r in held(rows, n, k) if r["doc_id"] in label]
+        assert np.mean([r["predicted"] == label[r["doc_id"]][of] for r in some]) >= least
+    lang = {r["doc_id"]: r["lang"] for r in d.collect()}
+    rows = held(queries.op3_language_id(spark, sf).collect(), 5, 0)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows]) >= 0.97
+
+
+def test_suffix_automaton_and_phrases():
+    rng = random.Random(3)
+    seq = [rng.randrange(3) for _ in range(60)]
+    go = langid.suffix_automaton(seq)
+
+    def has(s):
+        at = 0
+        for c in s:
+            if c not in go[at]:
+                return False
+            at = go[at][c]
+        return True
+
+    every = {tuple(seq[i:j]) for i in range(60) for j in range(i, min(60, i + 5))}
+    assert all(has(s) == (s in every) for n in range(5) for s in itertools.product(range(3), repeat=n))
+    model = langid.Model({"x": ["abcab"], "y": ["bbbbb"]})
+    count, size = model.phrases(["abab", "bb"])
+    assert count.tolist() == [[2, 4], [2, 1]] and size.tolist() == [4, 2]
+
+
+def test_crf_marginals_by_enumeration():
+    rng = np.random.default_rng(5)
+    score, step = rng.normal(size=7), rng.normal(size=(2, 2))
+    owner = np.array([0, 0, 0, 0, 2, 2, 3])
+    good, pair = quality.marginals(score, step, owner, 4)
+    want = []
+    for lo, hi in ((0, 4), (4, 6), (6, 7)):
+        total, mark = 0.0, np.zeros(hi - lo)
+        for y in itertools.product((0, 1), repeat=hi - lo):
+            w = np.exp(sum(score[lo + i] * v for i, v in enumerate(y)) + sum(step[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total += w
+            mark += w * np.array(y)
+        want += (mark / total).tolist()
+    assert np.allclose(good, want) and np.isclose(pair.sum(), 4)
+
+
+def test_licence_plan_equals_plain_model(spark, docs):
+    model = licenses.train(docs)
+    texts = [t for ts in licenses.TEMPLATES.values() for t in ts] + licenses.ORDINARY + licenses.UNKNOWN
+    texts += [r["text"] for r in docs.limit(60).collect()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): r for r in licenses.paragraphs(d, model).collect()}
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n")):
+            p = model.probabilities(line)
+            assert ((i, k) in got) == (p.argmax() > 0)
+            if (i, k) in got:
+                assert np.isclose(got[i, k]["p"], p.max())
+    families = {r["doc_id"]: r["licenses"] for r in licenses.licenses(d, model).collect()}
+    names = [name for name, ts in licenses.TEMPLATES.items() for _ in ts]
+    assert np.mean([families[i] == n for i, n in enumerate(names)]) > 0.9
+    assert not any(families[i] for i in range(len(names), len(names) + len(licenses.ORDINARY)))
+
+
+# -- pairs -----------------------------------------------------------------------------------------------------------
+
+
+def least_reachable(ids, links):
+    low = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_minhash_against_all_pairs(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 120))] for _ in range(12)]
+    texts = []
+    for i in range(300):
+        w = list(base[i % 12 if i % 3 else 0])
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w).upper() if i % 7 == 0 else " ".join(w))
+    texts += ["one two", "ONE  two", "one", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = least_reachable(range(len(texts)), links)
+    rows = minhash.near_duplicates(d, minhash.Plan(width=4)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(sets[i]), low[i], low[i] == i) for i in range(len(texts))}
+
+
+def test_large_keys_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_KEY", 2)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 16)
+    test_minhash_against_all_pairs(spark)
+
+
+def test_neighbours_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(260, 16))
+    x[100:220] = x[0] + rng.normal(size=(120, 16)) * 0.12
+    x[220:230] = x[5]
+    x[230:240] = x[5] * 3
+    label = [int(i % 2) if i < 90 else 1 for i in range(260)]
+    rows = [(i, [float(v) for v in x[i]], label[i]) for i in range(260)]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, [None] * 16, 1), (304, [], 1), (305, [1.0] * 16, None), (306, [float("inf")] * 16, 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = [(a, b) for a in range(260) for b in range(a) if label[a] == label[b] and u[a] @ u[b] >= 0.98]
+    low = least_reachable([r[0] for r in rows], links)
+    n = {i: 0 for i in low}
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.linked(d).collect()}
+    assert got == {i: (n[i], low[i], low[i] == i) for i in low}
+    assert neighbours.linked(d.limit(0)).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(2)
+    items = [(i, " ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 5, 13, 14, 30])))) for i in range(25)]
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(80))) + " " + rng.choice(items)[1].upper() + "! é" for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontam.contamination(d, b).collect():
+        w, hit, who = decontam.words(texts[r["doc_id"]]), set(), set()
+        for item, t in items:
+            s = decontam.words(t)
+            for i in range(max(1, len(s) - 12) if s else 0):
+                win = s[i : i + 13]
+                for j in range(len(w) - len(win) + 1):
+                    if w[j : j + len(win)] == win:
+                        hit.update(range(j, j + len(win)))
+                        who.add(str(item))
+        assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(who))
+        marked = " ".join(texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"])
+        assert len(decontam.words(marked)) == len(hit)
+
+
+# -- WARC, PII, mixing -----------------------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark):
+    big, other = "<p>" + "x" * 1500, "é" * 600
+    rows = [(1, "http://a", big), (2, None, big), (3, "u\r\nbad: 1", big), (3, "http://c", big), (4, "http://d", None), (5, "e", "short"), (6, "f", "short"), (7, "g", other), (None, "h", big), (None, None, "z" * 2000)]
+    d = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload_digest string")
+    got = [r.asDict() for r in warc.round_trip(d).collect()]
+    assert len(got) == len(rows) and all(r["intact"] for r in got)
+    roles = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in got)
+    assert roles == sorted([("1", "revisit", 3), ("2", "revisit", 3), ("3", "response", None), ("3", "revisit", 3), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("7", "response", None), ("None", "revisit", 3), ("None", "response", None)])
+    assert {r["page_id"]: r["payload_bytes"] for r in got}[7] == 1200 and {r["page_id"]: r["payload_bytes"] for r in got}[2] == 1503
+    assert warc.round_trip(d.limit(0)).count() == 0
+
+
+def test_normaliser_splits_any_gzip():
+    recs = [warc.record(i, 1, f"http://x/{i}", bytes([65 + i]) * 5000 * i, "0" * 40, None) for i in range(6)]
+    for raw in (gzip.compress(b"".join(recs)), b"".join(gzip.compress(r) for r in recs)):
+        out, index = io.BytesIO(), []
+        assert warc.normalise(io.BytesIO(raw), out, index.append) == 6
+        data = out.getvalue()
+        assert [gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]) for e in index] == recs
+        with pytest.raises((EOFError, zlib.error)):
+            warc.normalise(io.BytesIO(raw[:-30]), io.BytesIO(), index.append)
+
+
+def test_pii_cipher_is_a_permutation_and_inverts():
+    c = pii.Cipher(b"k")
+    for n in (1, 2, 10, 97, 1000):
+        assert sorted(c.encrypt(v, n, b"t") for v in range(n)) == list(range(n))
+        assert all(c.decrypt(c.encrypt(v, n, b"t"), n, b"t") == v for v in range(n))
+    one, back = pii.Pseudonymizer(b"k"), pii.Pseudonymizer(b"k", undo=True)
+    texts = ["card 4111 1111 1111 1111, 4111-1111-1111-1111 and 4111111111111111", "DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "123-45-6789 on 2020-02-29 or 29.02.2020", "+1 (017) 555-7713, Bob.9@mail.example.com, 10.0.0.1", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+    for t in texts:
+        new, spans = one.rewrite(t)
+        assert new != t and spans and len(new) >= len(t) - 12 and back.rewrite(new)[0] == t
+    cards = re.findall(r"[\d -]{16,19}\d", one.rewrite(texts[0])[0])
+    assert len({re.sub(r"\D", "", x) for x in cards}) == 1
+    for t in ("4111111111111112", "300.1.1.1", "000-12-3456", "2021-02-29", "version 1.2.3", "DE89370400440532013001"):
+        assert one.rewrite(t) == (t, [])
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * max(1, int(rng.paretovariate(1.2) * 10))), rng.choice("abcdefg")) for i in range(4000)]
+    rows += [(5000, "w " * 9000, "huge"), (5001, "w", "huge"), (5002, "w " * 40, None), (5003, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    again = {r["doc_id"]: (r["taken"], tuple(r["shards"])) for r in mixing.mix(d.repartition(7)).collect()}
+    assert {r["doc_id"]: (r["taken"], tuple(r["shards"])) for r in got} == again
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+        assert r["taken"] == r["size"] * r["copies"] + r["part"] <= 3 * r["size"] and len(r["shards"]) == r["copies"] + (r["part"] > 0)
+    total = sum(r["size"] for r in got)
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    want = mixing.targets([sum(r["size"] for r in by[s]) for s in names])
+    assert np.isclose(sum(want), total)
+    for s, t in zip(names, want, strict=True):
+        assert np.isclose(by[s][0]["target"], t)
+        if s not in ("huge", None):
+            assert abs(sum(r["taken"] for r in by[s]) - t) <= 0.01 * t
+    out = mixing.shards_of(d, shards=4)
+    assert out.groupBy().sum("words").first()[0] == sum(r["taken"] for r in mixing.mix(d, shards=4).collect())
+
+
+def test_splitting_tree_is_exact():
+    q = np.array([100, 0, 7, 1000])
+    out = mixing.split(q, 5, 3)
+    assert (out.sum(axis=0) == q).all() and out.sum(axis=1).max() - out.sum(axis=1).min() <= 3
+    assert (mixing.split(q, 5, 3) == out).all()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "minhash_near_dedup", "decontamination", "pii", "mixing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF)
+    ids = [r["doc_id"] for r in out.select("doc_id").collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    step = docs.join(toxicity.toxicity(docs, model).where("predicted = 0").select("doc_id"), "doc_id", "left_semi")
+    near = minhash.near_duplicates(step).where("kept").select("doc_id")
+    bad = decontam.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").select("doc_id")
+    want = near.join(bad, "doc_id", "left_anti")
+    assert sorted(ids) == sorted(r["doc_id"] for r in want.collect())
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.where(F.col("taken") > 3 * F.col("size")).count() == 0
