@@ -9,10 +9,10 @@ kept back, and a family needs at least ``SURE`` of the calibrated probability; a
 licensing paragraph below that is ``unknown``.  A family counts as confirmed if the paragraph
 holds enough of the word 3-grams of one of its templates; else it is ``unknown`` too.
 
-Scoring is DataFrame operations only.  Words that a licensing prediction needs are derived from
-the weights: a paragraph with none of them stays ``none`` whatever else it holds,
-because all other weights together cannot lift it; so most paragraphs are settled
-by one look at their words, exactly.
+Scoring is DataFrame operations only.  A paragraph can only be licensing if it has an
+n-gram that speaks for it; of each such n-gram the word that ordinary text has least
+is looked for first, and a paragraph without any is ``none``, exactly.  Of the others
+only numbers are shuffled, one row per paragraph and task.
 
 Defined cases: null and empty texts have no paragraphs.  Blank lines are not counted.
 Rows repeated with id and text get the same result.
@@ -114,6 +114,8 @@ CLASSES = ["none", "unknown", *TEMPLATES]
 SURE = 0.6
 #: Share of a template's 3-grams that a paragraph must hold.
 CONFIRM = 0.6
+#: N-grams in a greater share of ordinary paragraphs are no features.
+COMMON = 0.005
 SAMPLE_TEXTS, SAMPLE_PARAGRAPHS, SAMPLE_CHARS = 300, 3000, 20_000
 
 
@@ -133,28 +135,19 @@ def triples_of(words: list[str]) -> set[str]:
 class Model:
     """Weights of n-grams by class relative to ``none``, biases, temperature, and the words that any licensing prediction needs."""
 
-    def __init__(self, grams: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, grams: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, common: dict[str, int] | None = None):
         self.grams, self.weights, self.bias, self.temperature = grams, weights, bias, temperature
-        self.needed = self._needed()
-
-    def _needed(self) -> list[str]:
-        """Words without which no class can outweigh ``none``, even with every other n-gram in the paragraph."""
-        gain = np.maximum(self.weights[:, 1:], 0)
-        parts = [set(g.split()) for g in self.grams]
-        free = np.ones(len(parts), dtype=bool)
-        out: list[str] = []
-        while (gain[free].sum(axis=0) + self.bias[1:] >= 0).any():
-            worst = int((gain[free].sum(axis=0) + self.bias[1:]).argmax())
-            by: dict[str, float] = {}
-            for k in np.flatnonzero(free).tolist():
-                for w in parts[k]:
-                    by[w] = by.get(w, 0.0) + gain[k, worst]
-            if not by:
-                break
-            word = max(by, key=lambda w: (by[w], w))
-            out.append(word)
-            free &= np.array([word not in p for p in parts])
-        return out
+        self.needed = self._needed(common or {})
+
+    def _needed(self, common: dict[str, int]) -> list[str]:
+        """One word, the least common in ordinary text, of every n-gram that speaks for any licence.
+
+        A paragraph with none of them has no such n-gram, so ``none``, whose bias is the greatest, wins.
+        """
+        if (self.bias[1:] >= 0).any():
+            raise ValueError("without n-grams a paragraph would not be 'none'")
+        gain = self.weights[:, 1:].max(axis=1) if len(self.grams) else np.zeros(0)
+        return sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g, x in zip(self.grams, gain, strict=True) if x > 0})
 
     def probabilities(self, text: str) -> np.ndarray:
         """The plain form of what the DataFrame plan computes, for tests."""
@@ -191,6 +184,11 @@ def fit(ordinary: list[str], seed: int = 10, steps: int = 250) -> Model:
     ordinary = [p for p in ordinary if not any(len(t & triples_of(words_of(p))) >= CONFIRM * len(t) for t in known)]
     sets, labels = _examples(ordinary, rng)
     grams = sorted({g for s, k in zip(sets, labels, strict=True) if k for g in s} & {g for t in [*UNKNOWN, *ORDINARY, *(t for ts in TEMPLATES.values() for t in ts)] for g in grams_of(words_of(t))})
+    common: dict[str, int] = {}
+    for p in ordinary:
+        for g in grams_of(words_of(p)):
+            common[g] = common.get(g, 0) + 1
+    grams = [g for g in grams if common.get(g, 0) <= COMMON * len(ordinary)]
     at = {g: k for k, g in enumerate(grams)}
     x = np.zeros((len(sets), len(grams)), dtype=np.float32)
     for i, s in enumerate(sets):
@@ -199,11 +197,11 @@ def fit(ordinary: list[str], seed: int = 10, steps: int = 250) -> Model:
     kept = rng.random(len(sets)) < 0.25
     share = 1 / np.maximum(y[~kept].sum(axis=0), 1)
     weight = (y[~kept] @ share)[:, None]
-    weight /= weight.sum()
-    w, b = np.zeros((len(grams), len(CLASSES))), np.zeros(len(CLASSES))
+    weight = (weight / weight.sum()).astype(np.float32)
+    w, b = np.zeros((len(grams), len(CLASSES)), dtype=np.float32), np.zeros(len(CLASSES), dtype=np.float32)
     b[0] = 4.0
     xs, ys = x[~kept], y[~kept]
-    m, v = np.zeros((len(grams) + 1, len(CLASSES))), np.zeros((len(grams) + 1, len(CLASSES)))
+    m, v = np.zeros((len(grams) + 1, len(CLASSES)), dtype=np.float32), np.zeros((len(grams) + 1, len(CLASSES)), dtype=np.float32)
     for k in range(1, steps + 1):
         z = xs @ w + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -211,8 +209,8 @@ def fit(ordinary: list[str], seed: int = 10, steps: int = 250) -> Model:
         grad = np.vstack([xs.T @ d + 1e-5 * w, d.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8) * min(1.0, 2 * (1 - k / (steps + 1)))
-        w, b = w - step[:-1], b - step[-1]
-    w, b = w - w[:, :1], b - b[0]
+        w, b = (w - step[:-1]).astype(np.float32), (b - step[-1]).astype(np.float32)
+    w, b = (w - w[:, :1]).astype(float), (b - b[0]).astype(float)
     w[np.abs(w).max(axis=1) < 0.05] = 0
     z, best = x[kept] @ w + b, (np.inf, 1.0)
     for t in np.geomspace(0.25, 4, 33):
@@ -220,7 +218,7 @@ def fit(ordinary: list[str], seed: int = 10, steps: int = 250) -> Model:
         p /= p.sum(axis=1, keepdims=True)
         best = min(best, (float(-np.log(np.maximum((p * y[kept]).sum(axis=1), 1e-9)).mean()), float(t)))
     some = np.abs(w).max(axis=1) > 0
-    return Model([g for g, s in zip(grams, some, strict=True) if s], w[some], b, best[1])
+    return Model([g for g, s in zip(grams, some, strict=True) if s], w[some], b, best[1], common)
 
 
 def train(docs: DataFrame, seed: int = 10) -> Model:
@@ -247,24 +245,28 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     rows = rows.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in model.needed])) if model.needed else F.lit(False))
     pair = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("grams", F.array_distinct(F.concat("w", pair)))
+    n3 = F.greatest(F.size("w") - 2, F.lit(1))
+    rows = rows.withColumn("triples", F.array_distinct(F.transform(F.sequence(F.lit(1), n3), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))))
+    held = F.lit(0).cast("long")  # a bit per family one of whose templates the paragraph holds
+    for k, name in enumerate(CLASSES[2:]):
+        some = F.lit(False)
+        for t in sorted({tuple(sorted(triples_of(words_of(t)))) for t in TEMPLATES[name]}):
+            some = some | (F.size(F.array_intersect(F.array(*[F.lit(g) for g in t]), "triples")) >= CONFIRM * len(t))
+        held = held + F.when(some, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
     names = [f"z{k}" for k in range(len(CLASSES))]
-    table = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, " + ", ".join(f"{n} double" for n in names))
-    hits = rows.select("doc_id", "h", "line", "w", F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")  # one row per template n-gram
-    z = hits.groupBy("doc_id", "h", "line", "gram").agg(F.first("w").alias("w"), *[F.first(n).alias(n) for n in names])
-    z = z.groupBy("doc_id", "h", "line").agg(F.first("w").alias("w"), *[F.sum(n).alias(n) for n in names])
-    scaled = [(F.col(n) + float(model.bias[k])) / model.temperature for k, n in enumerate(names)]
-    z = z.withColumn("zs", F.array(*scaled)).withColumn("top", F.array_max("zs"))
+    # the empty n-gram counts how often a repeated row has the paragraph
+    table = [("", 1, *[0.0] * len(CLASSES)), *((g, 0, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True))]
+    table = spark.createDataFrame(table, "gram string, one int, " + ", ".join(f"{n} double" for n in names))
+    rows = rows.select("doc_id", "h", "line", held.alias("held"), F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram"))
+    hits = rows.join(F.broadcast(table), "gram")  # one row per template n-gram
+    z = hits.groupBy("doc_id", "h", "line").agg(F.max("held").alias("held"), F.sum("one").alias("n"), *[F.sum(n).alias(n) for n in names])
+    z = z.withColumn("zs", F.array(*[(F.col(x) / F.col("n") + float(model.bias[k])) / model.temperature for k, x in enumerate(names)])).withColumn("top", F.array_max("zs"))
     z = z.withColumn("total", F.aggregate("zs", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
-    z = z.withColumn("at", F.array_position("zs", F.col("top"))).withColumn("p", 1 / F.col("total"))
-    z = z.where("at > 1").withColumn("kind", F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("at").cast("int")))
-    n3 = F.greatest(F.size("w") - 2, F.lit(1))
-    z = z.withColumn("triples", F.array_distinct(F.transform(F.sequence(F.lit(1), n3), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))))
-    known = [(name, sorted(triples_of(words_of(t)))) for name, ts in TEMPLATES.items() for t in ts]
-    known = spark.createDataFrame(known, "kind string, template array<string>").groupBy("kind").agg(F.collect_list("template").alias("templates"))
-    z = z.join(F.broadcast(known), "kind", "left")  # one row per family
-    held = F.exists("templates", lambda t: F.size(F.array_intersect(t, F.col("triples"))) >= CONFIRM * F.size(t))
-    z = z.withColumn("confirmed", F.coalesce(held & (F.col("p") >= SURE), F.lit(False)))
-    return z.select("doc_id", "h", "line", F.when(F.col("confirmed"), F.col("kind")).otherwise(F.lit("unknown")).alias("kind"), "p", "confirmed")
+    z = z.withColumn("at", F.array_position("zs", F.col("top")).cast("int")).withColumn("p", 1 / F.col("total")).where("at > 1")
+    confirmed = F.expr("at > 2 AND (held & shiftleft(1L, greatest(at - 3, 0))) <> 0") & (F.col("p") >= SURE)
+    z = z.withColumn("confirmed", confirmed)
+    kind = F.when(F.col("confirmed"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("at"))).otherwise(F.lit("unknown"))
+    return z.select("doc_id", "h", "line", kind.alias("kind"), "p", "confirmed")
 
 
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
