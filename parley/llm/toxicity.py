@@ -86,14 +86,17 @@ def fit(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0.1
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(weights, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    parts = [(lo, *_distinct(texts[lo:hi])) for lo, hi in blocks([len(t) for t in texts], 1 << 20)]
-    t = np.concatenate([p[1] + p[0] for p in parts])
-    f = np.concatenate([p[2] for p in parts])
-    pos, neg = (np.bincount(f[y[t] == k], minlength=1 << BITS) for k in (1, 0))
+    # two passes over bounded blocks: only the features that are used are ever held for all texts
+    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for lo, hi in blocks([len(t) for t in texts], 1 << 20):
+        t, f = _distinct(texts[lo:hi])
+        pos += np.bincount(f, y[lo:hi][t], 1 << BITS)
+        neg += np.bincount(f, 1 - y[lo:hi][t], 1 << BITS)
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
     ratio[(pos + neg < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    keep = ratio[f] != 0
-    t, f = t[keep], f[keep]
+    parts = [(lo, *_distinct(texts[lo:hi], ratio != 0)) for lo, hi in blocks([len(t) for t in texts], 1 << 20)]
+    t = np.concatenate([p[1] + p[0] for p in parts])
+    f = np.concatenate([p[2] for p in parts])
     names, at = np.unique(f, return_inverse=True)
     value = ratio[f]
     w, b = np.zeros(len(names)), float(np.log(y.mean() / (1 - y.mean())))
