@@ -83,7 +83,7 @@ class _Run:
     def __init__(self, docs: DataFrame, plan: Plan):
         self.docs, self.plan = docs, plan
         self.spark = docs.sparkSession
-        self.rows = settle(docs.select("doc_id", _signatures(plan)("text").alias("s")).select("doc_id", "s.n", "s.node", "s.sig"))
+        self.rows = settle(docs.select("doc_id", F.xxhash64("text").alias("fp"), _signatures(plan)("text").alias("s")).select("doc_id", "fp", "s.n", "s.node", "s.sig"))
         self.nodes = settle(self.rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -173,15 +173,26 @@ class _Run:
 
         return settle(g.groupBy("g", "bi", "bj").applyInPandas(compare, "a long, b long"))
 
-    def result(self) -> DataFrame:
+    def roots(self) -> DataFrame:
+        """(node, rep, root) of every set."""
         comp = components(self.links().toDF("u", "v"))
-        named = self.nodes.select("node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return self.nodes.select("node", "rep").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def result(self) -> DataFrame:
+        named = self.roots()
         least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         named = named.join(least, "root").select("node", "component_id")
         rows = self.rows.join(named, "node", "left")
         rows = rows.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
+    def kept(self) -> DataFrame:
+        """(id, fp) of the document of each group with the smallest id, null ids last, and of all without words."""
+        first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "fp")).alias("k")
+        best = self.rows.where("n > 0").groupBy("node").agg(first).join(self.roots(), "node")
+        best = best.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.fp")
+        return best.unionByName(self.rows.where("n = 0").select(F.col("doc_id").alias("id"), "fp")).distinct()
+
 
 def _block_links(part: pd.DataFrame, percent: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of different components in one pair of blocks."""
@@ -221,14 +232,15 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """The documents that stay: the one with the smallest id of each group, all columns as they came.
+    """The documents that stay: one of each group, that with the smallest id, all columns as they came.
 
-    Of rows repeated with one id, those kept are reduced to one row as well.
+    Rows with equal id and text are one document, of which one row stays.  Rows with one id, or
+    none, but other texts are documents of their own.
     """
-    found = near_duplicates(docs, plan).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    number, = fresh(docs, "number")
-    from pyspark.sql import Window
-
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["__kept"]), "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    fp, row, rank, its_id, its_fp = fresh(docs, "fp", "row", "rank", "its_id", "its_fp")
+    kept = _Run(docs, plan or Plan()).kept().toDF(its_id, its_fp)
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    out = docs.withColumn(fp, F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col(its_id)) & (F.col(fp) == F.col(its_fp)), "left_semi")
+    out = out.select("doc_id", fp, F.struct(*docs.columns).alias(row), F.xxhash64(*plain).alias(rank))
+    return out.groupBy("doc_id", fp).agg(F.min_by(row, rank).alias(row)).select(f"{row}.*")

@@ -76,6 +76,16 @@ def test_odd_documents(spark, docs, labels):
     assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ["1", "2", "3", "4", "6", "7", "8", "None"]
 
 
+def test_kept_rows_with_one_id_or_none(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a, {"k": 1}), (None, b, None), (7, c, None), (7, a + " more", None), (7, c, None), (8, b, None), (None, None, None), (9, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp map<string,int>").withColumn("its_id", F.lit(1))
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(7, a + " more"), (8, b), (7, c), (None, None), (9, "")], key=str)
+
+
 def test_training_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     odd = odd_documents(spark)
