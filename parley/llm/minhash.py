@@ -158,7 +158,8 @@ class _Run:
         g = nodes.select("node", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
         g = g.withColumn("g", F.xxhash64("i", F.expr("sig[i]")))
         per = g.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1 AND lo <> hi")
-        per = per.select("g", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+        # settled, so that the join below is of two plain exchanges, whose hot groups adaptive execution can split
+        per = settle(per.select("g", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")))
         g = g.join(per, "g").withColumn("block", F.pmod(F.xxhash64("node", "g"), F.col("nb")).cast("int"))
         g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         g = g.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
