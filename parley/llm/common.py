@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words as runs of bytes other than space and the controls 9 to 13.
@@ -92,27 +92,46 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int, label: str) -> list:
     return sorted(((r["doc_id"], r["text"], r[label]) for r in picked), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
+#: A graph of at most so many edges (1 MB) is finished in one task instead of hundreds of tiny ones.
+ONE_TASK_EDGES = 1 << 16
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (node, root), root the smallest node; roots themselves are left out.
 
     Alternating large-star and small-star steps, each a map-side combined
     minimum and a join that adaptive execution can split, until every node
-    hangs on one root.  Each step ends in the shared folder.
+    hangs on one root.  Each step ends in the shared folder.  Edges are counted
+    first; those of a small graph lie in one partition, where no step shuffles.
     """
     e = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    while not _is_forest(e):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        e = settle(small.distinct())
+    small = e.count() <= ONE_TASK_EDGES
+    while True:
+        e = e.coalesce(1) if small else e
+        if _is_forest(e):
+            break
+        both = _least(_each(e, ("u", "v"), ("v", "u")), small)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        star = _each(_least(large, small), ("v", "m"), ("u", "m"))
+        e = settle(star.where("u <> v").distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _each(e: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """A row (u, v) for each of some pairs of columns."""
+    one = F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("p")
+    return e.select(one).select("p.*")
+
+
+def _least(e: DataFrame, small: bool) -> DataFrame:
+    """The edges with the least v of each u as m.  In one partition a window needs no shuffle; else hot keys need the join."""
+    if small:
+        return e.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def _is_forest(e: DataFrame) -> bool:
     """Whether each u has one v that is no u itself."""
-    each = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    bad = each.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)")
+    one = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("p")
+    bad = e.select(one).select("p.*").groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 OR (up > 0 AND low = 0)")
     return bad.limit(1).count() == 0
