@@ -41,7 +41,7 @@ class Shingler:
         with np.errstate(over="ignore"):
             n, w = len(word), self.width
             whole = np.zeros(n, dtype=U64)
-            for k in range(w):
+            for k in range(min(w, n)):
                 whole[: n - k] = mix64(whole[: n - k] + word[k:] * U64(2 * k + 3))
         out = []
         for a, b in zip(first.tolist(), last.tolist(), strict=True):

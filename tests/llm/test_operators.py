@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.llm import decontam, langid, licenses, minhash, mixing, neighbours, pii, quality, queries, toxicity, warc
+from parley.llm import decontam, langid, licenses, minhash, minhash_kernel, mixing, neighbours, pii, quality, queries, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, Score double, size string, kept int, spans string, number int"
@@ -208,6 +208,22 @@ def test_minhash_against_all_pairs(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in rows} == {i: (len(sets[i]), low[i], low[i] == i) for i in range(len(texts))}
 
 
+def test_shingles_of_blocks_with_few_words():
+    for width in (1, 4, 5):
+        one = minhash_kernel.Shingler(width, 2, 4, 1)
+        many = one.sets([" ".join(f"w{i}" for i in range(n)).encode() for n in range(width + 8)])
+        for n in range(width + 8):
+            alone = one.sets([" ".join(f"w{i}" for i in range(n)).encode()])
+            assert len(alone) == 1 and alone[0].tolist() == many[n].tolist() and len(alone[0]) == (max(1, n - width + 1) if n else 0)
+        assert [len(x) for x in one.sets([None])] == [0]
+
+
+def test_minhash_of_a_table_with_one_short_text(spark):
+    d = spark.createDataFrame([(7, "one two")], "doc_id long, text string")
+    rows = minhash.near_duplicates(d, minhash.Plan(width=4)).collect()
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows] == [(7, 1, 7, True)]
+
+
 def test_large_keys_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_KEY", 2)
     monkeypatch.setattr(minhash, "BLOCK_SETS", 16)
