@@ -17,7 +17,9 @@ Kinds and their validation:
 - ``email``: the letters and digits before the @ are permuted, each as its own kind of character;
 - ``secret``: runs of 32 to 64 hexadecimal digits with both letters and digits, of one case.
 
-Numbers that fail validation stay.  Defined cases: null stays null, empty stays empty, texts
+Numbers that fail validation stay.  Where a match of an IBAN's form fails, because a word before or
+after it was taken in, shorter ones and the other kinds are looked for inside it; about one in 97 of
+these is followed by a word with which its pseudonym is an IBAN too, and ``undo`` by search misses it.  Defined cases: null stays null, empty stays empty, texts
 without findings come back unchanged.
 """
 
@@ -35,18 +37,20 @@ from .common import bounded_batches, fresh, text_udf
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
-_FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<date>(?<![\w./-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\w./-])\d{2}([/.])\d{2}\5\d{4}(?![\d/]))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
-    r"|(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
-)
+_PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "date": r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\w./-])\d{2}(?P<sep>[/.])\d{2}(?P=sep)\d{4}(?![\d/])",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
+}
+_FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS.items()))
+_SECRET = re.compile(_PATTERNS["secret"])
 #: What a finding must contain; texts without any of it are not searched.
-_MAY = re.compile(r"[@+]|\d{2}|[0-9a-fA-F]{32}")
+_MAY = re.compile(r"[@+]|\d{2}|\d\.\d|[0-9a-fA-F]{32}")
 
 
 class Cipher:
@@ -202,16 +206,31 @@ class Pseudonymizer:
         if not _MAY.search(text):
             return text, []
         spans: list[dict] = []
-
-        def swap(m: re.Match) -> str:
-            kind = m.lastgroup
+        out, done, at = [], 0, 0
+        while m := _FIND.search(text, at):
+            kind, start, end = m.lastgroup, m.start(), m.end()
             new = getattr(self, kind)(m.group())
+            if new is None and kind == "iban":
+                kind, end, new = self._inside(text, start, end)
             if new is None:
-                return m.group()
-            spans.append({"kind": kind, "start": m.start(), "end": m.end()})
-            return new
-
-        return _FIND.sub(swap, text), spans
+                at = end
+                continue
+            spans.append({"kind": kind, "start": start, "end": end})
+            out += [text[done:start], new]
+            done = at = end
+        return "".join(out) + text[done:], spans
+
+    def _inside(self, text: str, start: int, end: int) -> tuple[str, int, str | None]:
+        """The longest IBAN that ends before a space of a match that is none, or a secret in its place; else where to search on."""
+        cut = text.rfind(" ", start, end)
+        while cut > start:
+            new = self.iban(text[start:cut])
+            if new is not None:
+                return "iban", cut, new
+            cut = text.rfind(" ", start, cut)
+        m = _SECRET.match(text, start)
+        new = self.secret(m.group()) if m else None
+        return ("iban", start + 1, None) if new is None else ("secret", m.end(), new)
 
 
 def rewrite_udf(key: bytes):

@@ -316,6 +316,36 @@ def test_pii_cipher_is_a_permutation_and_inverts():
         assert one.rewrite(t) == (t, [])
 
 
+def test_pii_of_each_kind_alone():
+    one, back = pii.Pseudonymizer(b"k"), pii.Pseudonymizer(b"k", undo=True)
+    alone = {
+        "ip": ["8.8.8.8", "use 8.8.8.8 as the resolver", "1.1.1.1"],
+        "email": ["x@y.zz"],
+        "phone": ["+1 (017) 555-7713", "(017) 555-7713", "017-555-7713"],
+        "iban": ["DE89370400440532013000", "ES91 2100 0418 4502 0005 1332"],
+        "ssn": ["123-45-6789"],
+        "date": ["2020-02-29", "29.02.2020", "29/02/2020"],
+        "secret": ["04dbebab91ab85687d33eeaaf9ac699e", "AB12EBAB91AB85687D33EEAAF9AC699E", "a1" * 16],
+        "card": ["4111111111111111", "4111 1111 1111 1111"],
+    }
+    assert set(alone) == set(pii.KINDS)
+    for kind, texts in alone.items():
+        for t in texts:
+            new, spans = one.rewrite(t)
+            assert new != t and [s["kind"] for s in spans] == [kind] and back.rewrite(new)[0] == t
+
+
+def test_pii_iban_beside_upper_case_words():
+    one, back = pii.Pseudonymizer(b"k"), pii.Pseudonymizer(b"k", undo=True)
+    iban = "ES91 2100 0418 4502 0005 1332"
+    want = one.rewrite(iban)[0]
+    for t in (f"{iban} BIC", f"{iban} BANK", f"{iban} BANK OF", f"AB12 {iban}", f"{iban}, {iban} EUR"):
+        new, spans = one.rewrite(t)
+        assert new == t.replace(iban, want) and all(t[s["start"] : s["end"]] == iban and s["kind"] == "iban" for s in spans)
+        assert back.rewrite(new)[0] == t
+    assert [s["kind"] for s in one.rewrite("AB12 4111 1111 1111 1111")[1]] == ["card"]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * max(1, int(rng.paretovariate(1.2) * 10))), rng.choice("abcdefg")) for i in range(4000)]
