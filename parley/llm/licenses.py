@@ -9,6 +9,11 @@ kept back, and a family needs at least ``SURE`` of the calibrated probability; a
 licensing paragraph below that is ``unknown``.  A family counts as confirmed if the paragraph
 holds enough of the word 3-grams of one of its templates; else it is ``unknown`` too.
 
+A notice can be wrapped over lines: runs of lines without a blank line between (one without
+letters and digits, as of comment marks alone) are joined and scanned the same way, and a
+confirmed run counts once in n_license if no single line of the text is confirmed for its
+family.  A run has one family, its likeliest; n_unknown counts single lines, of wrapped notices too.
+
 Scoring is DataFrame operations only.  A paragraph can only be licensing if it has an
 n-gram that speaks for it; of each such n-gram the word that ordinary text has least
 is looked for first, and a paragraph without any is ``none``, exactly.  Of the others
@@ -239,14 +244,28 @@ def _words(text: Column) -> Column:
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, h, line, kind, p, confirmed) of every paragraph that is not ``none``; h hashes the text."""
+    return _scan(docs, F.split("text", "\n"), model)
+
+
+def wrapped(docs: DataFrame, model: Model) -> DataFrame:
+    """The same of every confirmed run of two or more lines without a blank line between, joined; line numbers the runs."""
+    runs = F.split("text", r"\n[^\p{L}\p{N}\n]*(?=\n)")
+    return _scan(docs, F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(r"\S[^\n]*\n\s*\S")), r).otherwise(F.lit(""))), model, only_held=True).where("confirmed")
+
+
+def _scan(docs: DataFrame, parts: Column, model: Model, only_held: bool = False) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("line", "p"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(parts).alias("line", "p"))
+    rows = rows.where("p <> ''") if only_held else rows
     rows = rows.withColumn("w", _words(F.col("p"))).drop("p")
     rows = rows.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in model.needed])) if model.needed else F.lit(False))
     pair = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("grams", F.array_distinct(F.concat("w", pair)))
     n3 = F.greatest(F.size("w") - 2, F.lit(1))
     rows = rows.withColumn("triples", F.array_distinct(F.transform(F.sequence(F.lit(1), n3), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))))
+    if only_held:
+        every = sorted({g for ts in TEMPLATES.values() for t in ts for g in triples_of(words_of(t))})
+        rows = rows.withColumn("triples", F.array_intersect("triples", F.array(*[F.lit(g) for g in every]))).where(F.size("triples") > 0)
     held = F.lit(0).cast("long")  # a bit per family one of whose templates the paragraph holds
     for k, name in enumerate(CLASSES[2:]):
         some = F.lit(False)
@@ -257,7 +276,9 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     # the empty n-gram counts how often a repeated row has the paragraph
     table = [("", 1, *[0.0] * len(CLASSES)), *((g, 0, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True))]
     table = spark.createDataFrame(table, "gram string, one int, " + ", ".join(f"{n} double" for n in names))
-    rows = rows.select("doc_id", "h", "line", held.alias("held"), F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram"))
+    rows = rows.withColumn("held", held)
+    rows = rows.where("held <> 0") if only_held else rows
+    rows = rows.select("doc_id", "h", "line", "held", F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram"))
     hits = rows.join(F.broadcast(table), "gram")  # one row per template n-gram
     z = hits.groupBy("doc_id", "h", "line").agg(F.max("held").alias("held"), F.sum("one").alias("n"), *[F.sum(n).alias(n) for n in names])
     z = z.withColumn("zs", F.array(*[(F.col(x) / F.col("n") + float(model.bias[k])) / model.temperature for k, x in enumerate(names)])).withColumn("top", F.array_max("zs"))
@@ -271,7 +292,11 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
 
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_license, n_unknown, licenses (confirmed families, sorted, comma-joined), score (the surest)."""
-    found = settle(paragraphs(docs, model))
+    lines = settle(paragraphs(docs, model))
+    known = lines.where("confirmed").select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), F.col("kind").alias("k_")).distinct()
+    more = wrapped(docs, model)
+    more = more.join(known, (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("kind") == F.col("k_")), "left_anti")
+    found = settle(lines.unionByName(more))
     named = found.groupBy("doc_id", "h").agg(
         F.sum(F.col("confirmed").cast("long")).alias("n_license"),
         F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"),

@@ -5,6 +5,7 @@ import io
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -174,6 +175,22 @@ def test_licence_plan_equals_plain_model(spark, docs):
     assert not any(families[i] for i in range(len(names), len(names) + len(licenses.ORDINARY)))
 
 
+def test_wrapped_licence_notices(spark, docs):
+    model = licenses.train(docs)
+    cases = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = []
+    for name, t in cases:
+        lines = textwrap.wrap(t, 72)
+        for mark in ("", "# ", " * ", "// "):
+            rows.append((len(rows), name, f"{mark}A file of ours\n{mark.rstrip()}\n" + "\n".join(mark + x for x in lines) + f"\n{mark.rstrip()}\nint main"))
+    d = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    whole = {r["doc_id"]: r["licenses"] for r in licenses.licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string"), model).collect()}
+    got = {r["doc_id"]: r for r in licenses.licenses(d, model).collect()}
+    for i, name, _ in rows:
+        if whole[i // 4] == name:
+            assert got[i]["licenses"] == name and got[i]["n_license"] == 1, (name, rows[i])
+
+
 # -- pairs -----------------------------------------------------------------------------------------------------------
 
 
