@@ -13,7 +13,9 @@ tables in which a failed match restarts at the root, and all walks of a batch st
 together.
 
 Training text is bounded: ``TRAIN_SYMBOLS`` symbols per language, fewer where the
-tables of many languages would exceed ``TABLE_STATES`` states in all.
+tables of many languages would exceed ``TABLE_STATES`` states in all.  The alphabet is bounded
+too: only the ``ALPHABET - 2`` commonest letters of all languages together have symbols of their
+own; all others share one, which makes languages of large or several scripts alike.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is any
 text when nothing was learned.  Ties go to the language first by code point.
@@ -35,7 +37,7 @@ BLOCK = 2048
 
 
 class Alphabet:
-    """Symbols: 0 gap, 1 a letter not seen in training, then the commonest letters."""
+    """Symbols: 0 gap, 1 any other letter, seen in training or not, then the commonest letters."""
 
     def __init__(self, letters: list[str]):
         self.number = {c: k + 2 for k, c in enumerate(letters[: ALPHABET - 2])}
