@@ -7,7 +7,6 @@ import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +62,8 @@ def text_udf(make: Callable[[], Callable[[list], dict]], schema: str) -> Callabl
     copies a costly call into both a filter and a projection.
     """
 
+    import pandas as pd  # here, as workers of operators without texts need none
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fn = make()
         for texts in batches:

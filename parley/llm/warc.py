@@ -5,11 +5,12 @@ normaliser inflates such a stream once, from start to end, writes every record a
 as a gzip member of its own, and beside the archive an index with one JSON line a
 record: offset, length, id, type.  Records then are read one by one at their offsets.
 
-Everything streams: memory holds one header and one chunk, never an archive or a
-payload.  Files are written under a temporary name and moved when complete, under
-names that follow from the task's partition, so a repeated task replaces its own file
-with an equal one.  They are reached through ``pyarrow.fs``, by the URI of the shared
-folder.
+The writer holds one Arrow batch of pages (512 rows, or the rows that 16 MB take, but at
+least one whole page), which it compresses chunk by chunk; the normaliser and the reader hold
+one header and one chunk, never an archive, an index or a payload.  Files are written under
+a temporary name and moved when complete, under names that follow from the task's partition,
+so a repeated task replaces its own file with an equal one.  They are reached through
+``pyarrow.fs``, by the URI of the shared folder.
 
 Defined cases: a null html is an empty payload; a null url has no target header; rows
 without page_id are written and come back without one, and no record refers to them.
@@ -20,13 +21,15 @@ others revisit it.  A table without rows gives no archive.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import BinaryIO
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -39,8 +42,11 @@ REVISIT_BYTES = 1000
 CHUNK = 1 << 18
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_ENTRY = "path string, offset long, length long, record_id string, record_type string"
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
+_NAMES = [c.split()[0] for c in _RECORD.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in _RECORD.split(", ")]
+#: Rows of a batch of records read.
+ROWS = 4096
 
 
 def _open(uri: str):
@@ -64,20 +70,29 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, copy: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record: a response with its payload, or a revisit without."""
-    name = f"<urn:x-page:{'' if page_id is None else page_id}{f':{copy}' if copy > 1 else ''}>"
-    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", _DATE)]
+def record_head(name: str, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """What stands before the payload in a WARC/1.1 response, or all of a revisit but the line ends after it."""
+    head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:x-page:{name}>"), ("WARC-Date", _DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", _clean(url)))
-    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(size))]
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     if refers_to is not None:
         head += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", f"<urn:x-page:{refers_to}>")]
-        payload = b""
-    head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(http) + len(payload)))]
+    block = len(http) + (size if refers_to is None else 0)
+    head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(block))]
     text = "".join(f"{k}: {v}\r\n" for k, v in head)
-    return b"WARC/1.1\r\n" + text.encode() + b"\r\n" + http + payload + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + text.encode() + b"\r\n" + http
+
+
+def record(name: str, url: str | None, payload, digest: str, refers_to: int | None) -> Iterator[bytes]:
+    """One WARC/1.1 record in pieces: a response with its payload, or a revisit without."""
+    yield record_head(name, url, len(payload), digest, refers_to)
+    if refers_to is None:
+        view = memoryview(payload)
+        for at in range(0, len(view), CHUNK):
+            yield view[at : at + CHUNK]
+    yield b"\r\n\r\n"
 
 
 def headers(raw: bytes) -> dict[str, str]:
@@ -141,8 +156,7 @@ def normalise(raw: BinaryIO, out: BinaryIO, index: Callable[[dict], None]) -> in
     while (head := stream.until(b"\r\n\r\n")) is not None:
         fields = headers(head)
         z, length = zlib.compressobj(6, zlib.DEFLATED, 31), 0
-        for piece in (head, *()):
-            length += out.write(z.compress(piece))
+        length += out.write(z.compress(head))
         for piece in stream.take(int(fields["content-length"]) + 4):  # the block and the two line ends after it
             length += out.write(z.compress(piece))
         length += out.write(z.flush())
@@ -151,122 +165,159 @@ def normalise(raw: BinaryIO, out: BinaryIO, index: Callable[[dict], None]) -> in
     return n
 
 
-def read_record(member: bytes) -> dict:
-    """The fields of one member, with the payload and whether its SHA-1 is the one recorded."""
-    raw = zlib.decompress(member, 31)
-    head, _, rest = raw.partition(b"\r\n\r\n")
+def read_member(raw: BinaryIO) -> dict:
+    """The fields of the one member that ``raw`` holds, the payload's size and SHA-1, and whether that is the one recorded.
+
+    The payload is hashed chunk by chunk while it is inflated and never held.
+    """
+    stream = Inflated(raw)
+    head = stream.until(b"\r\n\r\n")
+    if head is None:
+        raise EOFError("no record")
     fields = headers(head)
-    payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")[2]
+    sha, size, found, http = hashlib.sha1(), 0, False, b""
+    for piece in stream.take(int(fields["content-length"])):
+        if not found:
+            http += piece
+            at = http.find(b"\r\n\r\n")
+            if at < 0:
+                continue
+            found, piece = True, http[at + 4 :]
+        sha.update(piece)
+        size += len(piece)
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     revisit = fields["warc-type"] == "revisit"
-    return {"fields": fields, "payload": payload, "digest": digest, "intact": revisit or hashlib.sha1(payload).hexdigest() == digest}
+    return {"fields": fields, "size": size, "digest": digest, "intact": revisit or sha.hexdigest() == digest}
+
+
+class Part:
+    """The next ``length`` bytes of a file as a stream of its own."""
+
+    def __init__(self, raw: BinaryIO, length: int):
+        self.raw, self.left = raw, length
+
+    def read(self, n: int) -> bytes:
+        out = self.raw.read(min(n, self.left))
+        self.left -= len(out)
+        return out
 
 
 # -- tables --------------------------------------------------------------------------------------------------------------
 
 
 def planned(pages: DataFrame) -> DataFrame:
-    """Rows page_id, url, html, digest, copy, refers_to, one per page, dealt by page and sorted."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1("html"))
-    p = p.withColumn("k", F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
-    long_ones = p.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest", "k")
+    """Rows page_id, url, body, digest, copy, refers_to, one per page; copy counts rows repeated with page_id and payload.
+
+    Rows without page_id are never referred to and need no number (copy is 0), so they are dealt
+    by payload only to learn what they revisit, in a join that adaptive execution can split.
+    """
+    body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
+    p = p.withColumn("digest", F.sha1("body"))
+    long_ones = p.where(F.octet_length("body") >= REVISIT_BYTES).select("page_id", "digest")
     first = long_ones.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("c")).where("c > 1 AND response IS NOT NULL").drop("c")
-    roles = long_ones.distinct().join(first, "digest").select("k", "response")
-    x = p.join(roles, "k", "left").withColumn("copy", F.row_number().over(Window.partitionBy("k").orderBy("url")))
-    lead = F.col("response").isNull() | (F.col("page_id").eqNullSafe(F.col("response")) & (F.col("copy") == 1))
-    return x.withColumn("refers_to", F.when(~lead, F.col("response"))).select("page_id", "url", "html", "digest", "copy", "refers_to")
+    # joined by page and payload, not by payload, of which one may hold a third of all rows
+    roles = long_ones.where("page_id IS NOT NULL").distinct().join(first, "digest")
+    named = p.where("page_id IS NOT NULL").join(roles, ["page_id", "digest"], "left")
+    named = named.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    lead = F.col("response").isNull() | ((F.col("page_id") == F.col("response")) & (F.col("copy") == 1))
+    named = named.withColumn("refers_to", F.when(~lead, F.col("response")))
+    rest = p.where("page_id IS NULL").join(first, "digest", "left").withColumn("copy", F.lit(0)).withColumn("refers_to", F.col("response"))
+    out = ["page_id", "url", "body", "digest", "copy", "refers_to"]
+    return named.select(out).unionByName(rest.select(out))
 
 
 def write_monolithic(plan: DataFrame, folder: str) -> DataFrame:
     """Write each partition of ``plan`` as one archive in one gzip stream; rows (path, records)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = next((b for b in batches if len(b)), None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        path, count = f"{folder}/monolithic/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
+        part = TaskContext.get().partitionId()
+        path, count = f"{folder}/monolithic/part-{part:06d}.warc.gz", 0
 
         def write(out: BinaryIO) -> None:
             nonlocal count
             z = zlib.compressobj(6, zlib.DEFLATED, 31)
             batch = first
             while batch is not None:
-                for page, url, html, digest, copy, to in batch.itertuples(index=False):
-                    none = lambda v: None if pd.isna(v) else int(v)
-                    out.write(z.compress(record(none(page), copy, None if pd.isna(url) else url, html.encode("utf-8", "replace"), digest, none(to))))
+                page, url, body, digest, copy, to = (batch.column(c) for c in ("page_id", "url", "body", "digest", "copy", "refers_to"))
+                for i in range(batch.num_rows):
+                    name = f":{part}.{count}" if copy[i].as_py() == 0 else f"{page[i].as_py()}" if copy[i].as_py() == 1 else f"{page[i].as_py()}:{copy[i].as_py()}"
+                    for piece in record(name, url[i].as_py(), body[i].as_buffer(), digest[i].as_py(), to[i].as_py()):
+                        out.write(z.compress(piece))
                     count += 1
                 batch = next(batches, None)
             out.write(z.flush())
 
         _write_whole(path, write)
-        yield pd.DataFrame({"path": [path], "records": [count]})
+        yield pa.RecordBatch.from_pydict({"path": [path], "records": [count]})
 
-    return settle(plan.mapInPandas(run, "path string, records long"))
+    return settle(plan.mapInArrow(run, "path string, records long"))
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+    for batch in batches:
+        yield from batch.column("path").to_pylist()
 
 
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise each archive of ``archives`` (path); rows (path, records) of the new ones, index beside as path.idx."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                new, lines, n = f"{folder}/records/{path.rsplit('/', 1)[1]}", [], 0
-                fs, at = _open(path)
-
-                def write(out: BinaryIO, fs=fs, at=at, lines=lines) -> None:
-                    nonlocal n
-                    with fs.open_input_stream(at, compression=None) as raw:
-                        n = normalise(raw, out, lambda e: lines.append(json.dumps(e) + "\n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in _paths(batches):
+            new, n = f"{folder}/records/{path.rsplit('/', 1)[1]}", 0
+            fs, at = _open(path)
 
-                _write_whole(new, write)
-                _write_whole(new + ".idx", lambda out, lines=lines: out.write("".join(lines).encode()) and None)
-                yield pd.DataFrame({"path": [new], "records": [n]})
+            def write(out: BinaryIO, lines: BinaryIO, fs=fs, at=at) -> None:
+                nonlocal n
+                with fs.open_input_stream(at, compression=None) as raw:
+                    n = normalise(raw, out, lambda e: lines.write(json.dumps(e).encode() + b"\n"))
 
-    return settle(archives.select("path").mapInPandas(run, "path string, records long"))
+            # the index goes to its place before the archive, which shows that both are whole
+            _write_whole(new, lambda out, new=new, write=write: _write_whole(new + ".idx", lambda lines: write(out, lines)))
+            yield pa.RecordBatch.from_pydict({"path": [new], "records": [n]})
 
+    return settle(archives.select("path").mapInArrow(run, "path string, records long"))
 
-def entries(archives: DataFrame) -> DataFrame:
-    """The index lines of normalised archives: path, offset, length, record_id, record_type."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                fs, at = _open(path + ".idx")
-                with fs.open_input_stream(at, compression=None) as f:
-                    found = [json.loads(x) for x in f.read().decode().splitlines()]
-                yield pd.DataFrame([{"path": path, **e} for e in found], columns=["path", "offset", "length", "record_id", "record_type"])
+def entries(path: str) -> Iterator[dict]:
+    """The lines of the index of a normalised archive: offset, length, record_id, record_type."""
+    fs, at = _open(path + ".idx")
+    with fs.open_input_stream(at, compression=None) as f:
+        for line in io.BufferedReader(f, CHUNK):
+            yield json.loads(line)
 
-    return archives.select("path").mapInPandas(run, _ENTRY)
 
+def read_archives(archives: DataFrame) -> DataFrame:
+    """The record at each index entry, without its payload: its identity, full payload size and digest, and what it refers to."""
 
-def read_entries(index: DataFrame) -> DataFrame:
-    """The record at each entry, without its payload: its identity, full payload size and digest, and what it refers to."""
+    def page(name: str | None) -> int | None:
+        part = (name or "").removeprefix("<urn:x-page:").removesuffix(">").split(":")[0]
+        return int(part) if part else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def page(name: str | None) -> int | None:
-            part = (name or "").removeprefix("<urn:x-page:").removesuffix(">").split(":")[0]
-            return int(part) if part else None
+    def rows(path: str) -> Iterator[tuple]:
+        fs, at = _open(path)
+        with fs.open_input_file(at) as f:
+            for e in entries(path):
+                f.seek(e["offset"])
+                r = read_member(Part(f, e["length"]))
+                h = r["fields"]
+                size = r["size"] if h["warc-type"] == "response" else int(h["x-payload-length"])
+                yield page(h["warc-record-id"]), h.get("warc-target-uri"), size, r["digest"], h["warc-type"], page(h.get("warc-refers-to")), r["intact"]
 
-        for batch in batches:
-            for path, some in batch.groupby("path", sort=False):
-                fs, at = _open(path)
-                out = []
-                with fs.open_input_file(at) as f:
-                    for offset, length in zip(some["offset"], some["length"], strict=True):
-                        f.seek(offset)
-                        r = read_record(f.read(length))
-                        h = r["fields"]
-                        size = len(r["payload"]) if h["warc-type"] == "response" else int(h["x-payload-length"])
-                        out.append((page(h["warc-record-id"]), h.get("warc-target-uri"), size, r["digest"], h["warc-type"], page(h.get("warc-refers-to")), r["intact"]))
-                x = pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
-                yield x.astype({"page_id": "Int64", "refers_to": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in _paths(batches):
+            found = rows(path)
+            while some := list(islice(found, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _TYPES, strict=True)], names=_NAMES)
 
-    return index.mapInPandas(run, _RECORD)
+    return archives.select("path").mapInArrow(run, _RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise them, and read every record back by the index."""
     bounded_batches(pages.sparkSession)
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_entries(entries(normalise_archives(write_monolithic(planned(pages), folder), folder)))
+    return read_archives(normalise_archives(write_monolithic(planned(pages), folder), folder))

@@ -1,11 +1,13 @@
 """Corpus operators against brute force, round trips and held-out labels, and on defined odd inputs."""
 
 import gzip
+import hashlib
 import io
 import itertools
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -306,8 +308,36 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_warc_of_a_long_payload_and_of_many_rows_without_id(spark):
+    long = "<p>é" * 3_000_000
+    rows = [(1, "http://a", long), (2, "http://b", long), (9, "c", "z" * 1200)]
+    rows += [(None, f"http://n/{i % 3}", "z" * 1200) for i in range(700)] + [(None, None, "y" * 1500)] * 20
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = [r.asDict() for r in warc.round_trip(d).collect()]
+    assert len(got) == len(rows) and all(r["intact"] for r in got)
+    roles = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got}
+    assert roles == {(2, "response", None, 15_000_000), (1, "revisit", 2, 15_000_000), (9, "response", None, 1200), (None, "revisit", 9, 1200), (None, "response", None, 1500)}
+    assert {r["payload_digest"] for r in got if r["page_id"] in (1, 2)} == {hashlib.sha1(long.encode()).hexdigest()}
+
+
+def test_reading_holds_no_payload():
+    payload = bytes(range(256)) * 400_000  # 100 MB
+    member = io.BytesIO()
+    z = zlib.compressobj(1, zlib.DEFLATED, 31)
+    for piece in warc.record("7", None, payload, hashlib.sha1(payload).hexdigest(), None):
+        member.write(z.compress(piece))
+    member.write(z.flush())
+    size = len(payload)
+    member.seek(0)
+    del payload
+    tracemalloc.start()
+    found = warc.read_member(warc.Part(member, len(member.getbuffer())))
+    assert found["intact"] and found["size"] == size and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_normaliser_splits_any_gzip():
-    recs = [warc.record(i, 1, f"http://x/{i}", bytes([65 + i]) * 5000 * i, "0" * 40, None) for i in range(6)]
+    recs = [b"".join(warc.record(str(i), f"http://x/{i}", bytes([65 + i]) * 5000 * i, "0" * 40, None)) for i in range(6)]
     for raw in (gzip.compress(b"".join(recs)), b"".join(gzip.compress(r) for r in recs)):
         out, index = io.BytesIO(), []
         assert warc.normalise(io.BytesIO(raw), out, index.append) == 6
