@@ -48,14 +48,30 @@ def unique_resolution(rows: DataFrame, key: list[str], candidate: str) -> DataFr
     return g.withColumn("resolved", F.when(F.col("n_candidates") == 1, F.col("one_"))).drop("one_")
 
 
-def roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Depth and root of every node of a forest (node, parent) by pointer doubling: log2(depth) joins."""
-    cur = edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    for _ in range(rounds):
-        top = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
-        nxt = cur.join(top, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
-        nxt = nxt.checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
-        if nxt.where("depth > 0").join(cur.select("node", F.col("up").alias("was")), "node").where("up <> was").limit(1).count() == 0:
-            return nxt.withColumnRenamed("up", "root")
-        cur = nxt
-    raise ValueError("a cycle, or deeper than 2**rounds")
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; without one (single machine) keep the rows."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """Depth and root of every node of (node, parent) by pointer doubling: log2(depth) joins.
+
+    A node without a parent, or whose parent is no node, is a root.  Round r finishes the nodes
+    of depth up to 2**r; depths have no gaps, so when a round finishes none the rest run into
+    a cycle: they get neither depth nor root, and ``cycle`` is true.
+    """
+    known = edges.select(F.col("node").alias("parent"), F.lit(True).alias("is_node"))
+    cur = edges.select("node", "parent").join(known, "parent", "left")
+    top = F.col("is_node").isNull()
+    cur = settle(cur.select("node", F.when(top, F.col("node")).otherwise(F.col("parent")).alias("up"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), top.alias("done")))
+    left = cur.where("NOT done").count()
+    while left:
+        step = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("done").alias("done2"))
+        moved = cur.where("NOT done").join(step, "up").select("node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("done2").alias("done"))
+        cur = settle(cur.where("done").unionByName(moved))
+        now = cur.where("NOT done").count()
+        if now == left:
+            break
+        left = now
+    good = F.col("done")
+    return cur.select("node", F.when(good, F.col("up")).alias("root"), F.when(good, F.col("depth")).alias("depth"), (~good).alias("cycle"))

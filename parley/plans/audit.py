@@ -43,15 +43,11 @@ def empty_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role", c.alias("text_class")).agg(F.count("*").alias("n"))
 
 
-@register(
-    "common_support",
-    "WITH g AS (SELECT source, count(*) FILTER (l.toxic = 1) AS a, count(*) FILTER (l.toxic = 0) AS b FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source) SELECT source, a::BIGINT AS n_toxic, b::BIGINT AS n_clean, a > 0 AND b > 0 AS common_support FROM g",
-)
+@register("common_support", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created FROM orders WHERE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') >= '1994-' AND strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') < '1997-'")
 def common_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strata with both outcomes."""
-    x = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
-    g = x.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("toxic") == 0).alias("n_clean"))
-    return g.withColumn("common_support", (F.col("n_toxic") > 0) & (F.col("n_clean") > 0))
+    """Rows whose time, as text, lies in a range of years; compared as text, so the lower bound needs no month."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
+    return o.where((F.col("created") >= "1994-") & (F.col("created") < "1997-"))
 
 
 @register("left_semi_selected", "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
@@ -86,25 +82,29 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ht_estimate",
-    """WITH x AS (SELECT d.source, count(*) AS big, count(l.doc_id) AS small, avg(l.toxic) AS mean, var_samp(l.toxic) AS s2 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source)
-SELECT round(sum(big * mean), 6) AS total, round(sqrt(sum(CASE WHEN small > 1 THEN big * big * (1 - small / big) * s2 / small ELSE 0 END)), 6) AS se, sum(big)::BIGINT AS population FROM x WHERE small > 0""",
+    """WITH x AS (SELECT d.source, count(*) AS big, count(l.doc_id) AS small, avg(l.toxic) AS mean, var_samp(l.toxic) AS s2 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source),
+y AS (SELECT sum(big * mean) AS t, sqrt(sum(CASE WHEN small > 1 THEN big * big * (1 - small / big) * s2 / small ELSE 0 END)) AS e, sum(big)::BIGINT AS population FROM x WHERE small > 0)
+SELECT round(greatest(least(t, population), 0), 6) AS total, round(e, 6) AS se, round(greatest(least(t - 1.96 * e, population), 0), 6) AS ci95_low, round(greatest(least(t + 1.96 * e, population), 0), 6) AS ci95_high, population FROM y""",
 )
 def ht_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified total and its standard error with finite-population correction."""
+    """Stratified total, its standard error with finite-population correction and its 95 % interval, within the population."""
     x = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     x = x.groupBy("source").agg(F.count("*").alias("big"), F.count("toxic").alias("small"), F.avg("toxic").alias("mean"), F.var_samp("toxic").alias("s2")).where("small > 0")
     var = F.when(F.col("small") > 1, F.expr("big * big * (1 - small / big) * s2 / small")).otherwise(0.0)
-    return x.agg(F.round(F.sum(F.col("big") * F.col("mean")), 6).alias("total"), F.round(F.sqrt(F.sum(var)), 6).alias("se"), F.sum("big").alias("population"))
+    y = x.agg(F.sum(F.col("big") * F.col("mean")).alias("t"), F.sqrt(F.sum(var)).alias("e"), F.sum("big").alias("population"))
+    inside = lambda c: F.round(F.greatest(F.least(c, F.col("population")), F.lit(0.0)), 6)
+    t, e = F.col("t"), F.col("e")
+    return y.select(inside(t).alias("total"), F.round(e, 6).alias("se"), inside(t - 1.96 * e).alias("ci95_low"), inside(t + 1.96 * e).alias("ci95_high"), "population")
 
 
 @register(
     "quantiles",
-    "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(median(value), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, max(value) AS top FROM events GROUP BY event_type",
+    "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(median(value), 6) AS p50, round(quantile_disc(value, 0.9), 6) AS p90, max(value) AS top FROM events GROUP BY event_type",
 )
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact interpolated quantiles."""
+    """Exact quantiles, p05 and p50 interpolated, p90 by nearest rank."""
     q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.9).alias("p90"), F.max("value").alias("top"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)"), 6).alias("p90"), F.max("value").alias("top"))
 
 
 @register(

@@ -160,19 +160,20 @@ def lost_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "allocation",
-    """WITH s AS (SELECT lang, count(*) AS cap FROM documents GROUP BY 1), f AS (SELECT lang, cap, least(cap, 20) AS base, sum(least(cap, 20)) OVER () AS used, sum(cap - least(cap, 20)) OVER () AS room FROM s),
-q AS (SELECT *, greatest(120 - used, 0) * (cap - base) // greatest(room, 1) AS whole, greatest(120 - used, 0) * (cap - base) % greatest(room, 1) AS part FROM f),
+    """WITH s AS (SELECT lang, count(*) AS cap FROM documents GROUP BY 1), f AS (SELECT lang, cap, least(cap, least(20, 120 // count(*) OVER ())) AS base FROM s),
+g AS (SELECT lang, cap, base, sum(base) OVER () AS used, sum(cap - base) OVER () AS room FROM f),
+q AS (SELECT *, greatest(120 - used, 0) * (cap - base) // greatest(room, 1) AS whole, greatest(120 - used, 0) * (cap - base) % greatest(room, 1) AS part FROM g),
 r AS (SELECT *, row_number() OVER (ORDER BY part DESC, lang) AS k, greatest(120 - used, 0) - sum(whole) OVER () AS over FROM q)
 SELECT lang, cap::BIGINT AS cap, least(cap, base + whole + CASE WHEN k <= over THEN 1 ELSE 0 END)::BIGINT AS n FROM r""",
 )
 def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """120 places over strata: a floor of 20, the rest in proportion to what is left, by largest remainder.
+    """120 places over strata: a floor of 20, or less where strata are many, the rest in proportion to what is left, by largest remainder.
 
     The windows run over one row per stratum.
     """
     s = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("cap"))
     every = Window.partitionBy(F.lit(1))
-    s = s.withColumn("base", F.least("cap", F.lit(20).cast("long")))
+    s = s.withColumn("base", F.least("cap", F.least(F.lit(20).cast("long"), F.expr("120 div count(*) over (partition by 1)"))))
     s = s.withColumn("left_", F.greatest(120 - F.sum("base").over(every), F.lit(0).cast("long"))).withColumn("room", F.greatest(F.sum(F.col("cap") - F.col("base")).over(every), F.lit(1).cast("long")))
     s = s.withColumn("whole", F.expr("left_ * (cap - base) div room")).withColumn("part", F.expr("left_ * (cap - base) % room"))
     s = s.withColumn("k", F.row_number().over(every.orderBy(F.desc("part"), F.asc_nulls_last("lang")))).withColumn("over_", F.col("left_") - F.sum("whole").over(every))

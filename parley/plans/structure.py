@@ -32,57 +32,62 @@ def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", "conv_id", "role", "local_order", F.when(big, F.col("so")).alias("substantive_order"), "author_no", "reply_to", "reply_order", text.alias("text"))
 
 
-@register(
-    "dangling_replies",
-    f"WITH {UTTERANCES}, kept AS (SELECT * FROM utt WHERE turn % 3 <> 1) SELECT k.id, k.reply_to FROM kept k LEFT JOIN kept p ON p.conv_id = k.conv_id AND p.id = k.reply_to WHERE k.reply_to IS NOT NULL AND p.id IS NULL",
-)
+_FORWARD = f"WITH {UTTERANCES}, f AS (SELECT *, conv_id::VARCHAR || '.' || (turn + 1)::VARCHAR AS target, CASE WHEN role = 'user' THEN conv_id::VARCHAR || '.' || (turn + 1)::VARCHAR END AS original_id FROM utt)"
+
+
+def _forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Utterances that refer to the next turn, which the last of a case does not have; a user's also has that as its original id."""
+    after = F.concat_ws(".", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"))
+    return utterances(spark, sf_dir).withColumn("target", after).withColumn("original_id", F.when(F.col("role") == "user", after))
+
+
+@register("dangling_replies", f"{_FORWARD} SELECT k.id, k.target FROM f k LEFT JOIN f p ON p.conv_id = k.conv_id AND p.id = k.target WHERE p.id IS NULL")
 def dangling_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies whose target is not in the case, as an anti-join."""
-    k = utterances(spark, sf_dir).where("turn % 3 <> 1")
-    return k.where("reply_to IS NOT NULL").join(k.select("conv_id", F.col("id").alias("reply_to")), ["conv_id", "reply_to"], "left_anti").select("id", "reply_to")
+    k = _forward(spark, sf_dir)
+    return k.join(k.select("conv_id", F.col("id").alias("target")), ["conv_id", "target"], "left_anti").select("id", "target")
 
 
 @register(
     "unresolved_alias",
-    f"""WITH {UTTERANCES}, kept AS (SELECT *, CASE WHEN turn % 3 = 2 THEN reply_to END AS original_id FROM utt WHERE turn % 3 <> 1),
-al AS (SELECT DISTINCT conv_id, unnest([id, original_id]) AS alias FROM kept)
-SELECT k.role, count(*)::BIGINT AS n_children, count(a.alias)::BIGINT AS n_resolved FROM kept k LEFT JOIN al a ON a.conv_id = k.conv_id AND a.alias = k.reply_to
-WHERE k.reply_to IS NOT NULL GROUP BY k.role""",
+    f"""{_FORWARD}, al AS (SELECT DISTINCT conv_id, unnest([id, original_id]) AS alias FROM f)
+SELECT k.role, count(*)::BIGINT AS n_children, count(a.alias)::BIGINT AS n_resolved FROM f k LEFT JOIN al a ON a.conv_id = k.conv_id AND a.alias = k.target GROUP BY k.role""",
 )
 def unresolved_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children matched through any alias of a row."""
-    k = utterances(spark, sf_dir).where("turn % 3 <> 1").withColumn("original_id", F.when(F.col("turn") % 3 == 2, F.col("reply_to")))
+    """Children matched through any alias of a row."""
+    k = _forward(spark, sf_dir)
     al = k.select("conv_id", F.explode(F.array("id", "original_id")).alias("alias")).where("alias IS NOT NULL").distinct()
-    x = k.where("reply_to IS NOT NULL").join(al.select("conv_id", F.col("alias").alias("reply_to"), "alias"), ["conv_id", "reply_to"], "left")
+    x = k.join(al.select("conv_id", F.col("alias").alias("target"), "alias"), ["conv_id", "target"], "left")
     return x.groupBy("role").agg(F.count("*").alias("n_children"), F.count("alias").alias("n_resolved"))
 
 
 @register(
     "or_join_parent",
-    f"""WITH {UTTERANCES}, p AS (SELECT conv_id, turn, id, conv_id::VARCHAR || '.' || (turn + 1)::VARCHAR AS original_id FROM utt WHERE turn % 2 = 0),
+    f"""WITH {UTTERANCES}, p AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'old:' || id ELSE id END AS id, conv_id::VARCHAR || '.' || (turn + 1)::VARCHAR AS original_id FROM utt),
 j AS (SELECT c.id, p.id AS parent, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN p.id = c.reply_to THEN 0 ELSE 1 END, p.turn) AS rn
   FROM utt c JOIN p ON p.conv_id = c.conv_id AND (p.id = c.reply_to OR p.original_id = c.reply_to))
 SELECT id, parent FROM j WHERE rn = 1""",
 )
 def or_join_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A join on either of two keys, the exact one first, as a union of equi-joins."""
+    """A join on either of two keys, the exact one first, as a union of equi-joins and one row a child."""
     u = utterances(spark, sf_dir)
-    p = u.where("turn % 2 = 0")
-    a = p.select("conv_id", F.col("id").alias("reply_to"), F.col("id").alias("parent"), F.lit(0).alias("rank"), F.col("turn").alias("pt"))
-    b = p.select("conv_id", F.concat_ws(".", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string")).alias("reply_to"), F.col("id").alias("parent"), F.lit(1).alias("rank"), F.col("turn").alias("pt"))
-    x = u.select("conv_id", "id", "reply_to").join(a.unionByName(b), ["conv_id", "reply_to"])
-    return rel.extreme(x.select("id", "parent", "rank", "pt"), ["id"], F.struct("rank", "pt"), latest=False).select("id", "parent")
+    own = F.when(F.col("role") == "user", F.concat(F.lit("old:"), F.col("id"))).otherwise(F.col("id")).alias("parent")
+    older = F.concat_ws(".", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string")).alias("reply_to")
+    p = u.select("conv_id", own, older, F.col("turn").alias("pt"))
+    a = p.select("conv_id", F.col("parent").alias("reply_to"), "parent", F.lit(0).alias("rank"), "pt")
+    x = u.select("conv_id", "id", "reply_to").join(a.unionByName(p.withColumn("rank", F.lit(1))), ["conv_id", "reply_to"])
+    return rel.top1(x.select("id", "parent", "rank", "pt"), ["id"], [F.col("rank"), F.col("pt")]).select("id", "parent")
 
 
 @register(
     "reply_depth_root",
     f"""WITH RECURSIVE {UTTERANCES}, r AS (SELECT id, id AS root, 0::BIGINT AS depth FROM utt WHERE reply_to IS NULL
-  UNION ALL SELECT u.id, r.root, r.depth + 1 FROM utt u JOIN r ON u.reply_to = r.id) SELECT id, root, depth FROM r""",
+  UNION ALL SELECT u.id, r.root, r.depth + 1 FROM utt u JOIN r ON u.reply_to = r.id) SELECT u.id, r.root, r.depth, r.id IS NULL AS reply_cycle FROM utt u LEFT JOIN r ON r.id = u.id""",
 )
 def reply_depth_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and root of each reply by pointer doubling."""
+    """Depth and root of each reply by pointer doubling; rows of a cycle have neither and a flag."""
     u = utterances(spark, sf_dir)
-    return rel.roots(u.select(F.col("id").alias("node"), F.col("reply_to").alias("parent"))).select(F.col("node").alias("id"), "root", "depth")
+    return rel.roots(u.select(F.col("id").alias("node"), F.col("reply_to").alias("parent"))).select(F.col("node").alias("id"), "root", "depth", F.col("cycle").alias("reply_cycle"))
 
 
 @register(
@@ -127,34 +132,33 @@ def simultaneity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "unique_alias_resolution",
-    "SELECT source AS alias, count(DISTINCT lang)::BIGINT AS n_candidates, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS resolved FROM documents WHERE doc_id % 7 = 0 GROUP BY source",
+    "SELECT source AS alias, count(DISTINCT lang)::BIGINT AS n_candidates, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS resolved FROM documents GROUP BY source",
 )
 def unique_alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alias resolves only if it has one candidate."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("source").alias("alias"), "lang")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("alias"), "lang")
     return rel.unique_resolution(d, ["alias"], "lang")
 
 
 @register(
     "identity_full_outer",
-    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS presence FROM (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id",
+    "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS presence FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id",
 )
 def identity_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence on either side."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select("doc_id", F.lit(1).alias("a"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("a"))
     x = d.join(table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("b")), "doc_id", "full")
     return x.select("doc_id", F.when(F.col("b").isNull(), "left_only").when(F.col("a").isNull(), "right_only").otherwise("both").alias("presence"))
 
 
 @register(
     "append_only_registry",
-    "WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT o_orderkey AS k, 'new' AS v FROM orders WHERE o_orderkey % 2 = 0) SELECT k, v FROM o UNION ALL SELECT k, v FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = n.k)",
+    "SELECT doc_id AS k, 'quality:' || quality::VARCHAR AS v FROM labels UNION ALL SELECT doc_id, 'source:' || source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
 def append_only_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first issue wins."""
-    o = table(spark, sf_dir, "orders")
-    old = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    new = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("v"))
+    """The first issue wins; labels were issued before documents."""
+    old = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.concat(F.lit("quality:"), F.col("quality").cast("string")).alias("v"))
+    new = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("source:"), F.col("source")).alias("v"))
     return rel.append_only(old, new, "k")
 
 

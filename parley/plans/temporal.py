@@ -91,13 +91,13 @@ def window_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "identity_reverts",
-    """WITH s AS (SELECT user_id, event_id, event_type AS sha1, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    """WITH s AS (SELECT user_id, event_id, event_type AS sha1, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE event_type IS NOT NULL),
 l AS (SELECT *, lag(i) OVER (PARTITION BY user_id, sha1 ORDER BY i) AS prev FROM s)
 SELECT event_id, user_id, (i - prev - 1)::BIGINT AS n_between FROM l WHERE i - prev > 1""",
 )
 def identity_reverts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A revision that restores an earlier state with other states between; rows between have other states by construction of the lag."""
-    e = table(spark, sf_dir, "events")
+    """A revision that restores an earlier state with other states between, null ones left out; rows between have other states by construction of the lag."""
+    e = table(spark, sf_dir, "events").where("event_type IS NOT NULL")
     x = e.select("user_id", "event_id", F.col("event_type").alias("sha1"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("i"))
     x = x.withColumn("prev", F.lag("i").over(Window.partitionBy("user_id", "sha1").orderBy("i")))
     return x.where("i - prev > 1").select("event_id", "user_id", (F.col("i") - F.col("prev") - 1).cast("long").alias("n_between"))
@@ -123,16 +123,15 @@ def case_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "full_event_timeline",
-    """SELECT 'event:' || event_id AS uid, 'event' AS kind, event_type AS type, ts AS at FROM events WHERE event_type IN ('error', 'purchase')
-UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderstatus, o_orderdate FROM orders WHERE o_orderstatus = 'P'""",
+    """SELECT 'event:' || event_id AS uid, 'event' AS kind, event_type AS type, ts AS at FROM events
+UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderstatus, o_orderdate FROM orders ORDER BY "at" NULLS LAST, kind, uid""",
 )
 def full_event_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and orders on one timeline."""
-    e = table(spark, sf_dir, "events").where("event_type IN ('error', 'purchase')")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    """Events and orders on one timeline, untimed ones last."""
+    e, o = table(spark, sf_dir, "events"), table(spark, sf_dir, "orders")
     a = e.select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("uid"), F.lit("event").alias("kind"), F.col("event_type").alias("type"), F.col("ts").alias("at"))
     b = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("uid"), F.lit("order").alias("kind"), F.col("o_orderstatus").alias("type"), F.col("o_orderdate").alias("at"))
-    return a.unionByName(b)
+    return a.unionByName(b).orderBy(F.col("at").asc_nulls_last(), "kind", "uid")
 
 
 @register(
