@@ -59,7 +59,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies", "part", "shards")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
