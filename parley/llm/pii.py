@@ -11,13 +11,13 @@ Kinds and their validation:
 - ``card``: 13 to 19 digits, also in groups, with a right Luhn digit; all digits but the last are permuted, the last is made right again;
 - ``iban``: right modulo 97; the digits of the account are permuted, the check digits made right again;
 - ``ssn``: ddd-dd-dddd within the issued ranges;
-- ``phone``: +c (ddd) ddd-dddd and the like; the national number is permuted;
-- ``ip``: dotted quads with parts up to 255, not part of a longer dotted number; all 32 bits are permuted;
-- ``date``: calendar dates of 1900 to 2099 as y-m-d, d/m/y or d.m.y; the day number is permuted;
-- ``email``: the letters and digits before the @ are permuted, each as its own kind of character;
-- ``secret``: runs of 32 to 64 hexadecimal digits with both letters and digits, of one case.
+- ``phone``: ddd-ddd-dddd with hyphens, dots, blanks or brackets, with 1 or +c before it, or + and 8 to 15 digits in groups; the last 10 digits, or all but the first two of fewer than 12, are permuted;
+- ``ip``: dotted quads with parts up to 255, not part of a longer dotted number, all 32 bits permuted; IPv6 addresses with a digit, of which each group is permuted among those of its length;
+- ``date``: calendar dates of 1900 to 2099 as y-m-d, y/m/d, d/m/y or d.m.y; the day number is permuted;
+- ``email``: the letters and digits before the @ are permuted, each as its own kind of character, letters of any script among those near it in Unicode;
+- ``secret``: runs of 32 to 64 hexadecimal digits with both letters and digits, of one case, and access key ids (AKIA or ASIA and 16 of A-Z and 2-7).
 
-Numbers that fail validation stay.  Where a match of an IBAN's form fails, because a word before or
+Numbers that fail validation stay; nine digits without hyphens are not taken for an SSN.  Where a match of an IBAN's form fails, because a word before or
 after it was taken in, shorter ones and the other kinds are looked for inside it; about one in 97 of
 these is followed by a word with which its pseudonym is an IBAN too, and ``undo`` by search misses it.  Defined cases: null stays null, empty stays empty, texts
 without findings come back unchanged.
@@ -25,8 +25,11 @@ without findings come back unchanged.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import ipaddress
 import re
+import secrets
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -38,19 +41,22 @@ ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 _FIRST_DAY, _DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 _PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "email": r"(?<![\w.%+-])[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    r"|(?<![\w.+-])(?:1[-. ])?\d{3}(?P<gap>[-. ])\d{3}(?P=gap)\d{4}(?![\d-]|[. ]\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,8}){1,4}(?![\d-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "date": r"(?<![\w./-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\w./-])\d{2}(?P<sep>[/.])\d{2}(?P=sep)\d{4}(?![\d/])",
+    "date": r"(?<![\w./-])\d{4}(?P<dash>[-/])\d{2}(?P=dash)\d{2}(?![\d/-])|(?<![\w./-])\d{2}(?P<sep>[/.])\d{2}(?P=sep)\d{4}(?![\d/])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
+    r"|(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|A[KS]IA[A-Z2-7]{16})(?![0-9A-Za-z])",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 _FIND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in _PATTERNS.items()))
 _SECRET = re.compile(_PATTERNS["secret"])
 #: What a finding must contain; texts without any of it are not searched.
-_MAY = re.compile(r"[@+]|\d{2}|\d\.\d|[0-9a-fA-F]{32}")
+_MAY = re.compile(r"[@+]|\d{2}|\d\.\d|::|[0-9a-fA-F]:[0-9a-fA-F]|[0-9a-fA-F]{32}|A[KS]IA")
+_UPPER_KEY = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 class Cipher:
@@ -104,6 +110,25 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+@functools.cache
+def _kind_of(c: str) -> tuple[str, str]:
+    """The characters among which one of a name is permuted (none: it stays), and the one that stands for it there, without case.
+
+    They are the digits, or the letters of the same 64 code points that are cased, or uncased, as it is, so that a name stays a name.
+    """
+    def cased(x: str) -> bool:
+        return len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x
+
+    if "0" <= c <= "9":
+        return "0123456789", c
+    if not c.isalpha():
+        return "", c
+    small = c.lower() if len(c.lower()) == 1 and cased(c.lower()) else c
+    near = [chr(k) for k in range(ord(small) & ~63, (ord(small) | 63) + 1)]
+    plain = lambda x: x.isalpha() and not cased(x) and not (len(x.lower()) == 1 and cased(x.lower()))
+    return "".join(x for x in near if (cased(x) if cased(small) else plain(x))), small
+
+
 class Pseudonymizer:
     """Replaces findings in texts; ``undo`` turns it round."""
 
@@ -145,17 +170,36 @@ class Pseudonymizer:
 
     def phone(self, s: str) -> str | None:
         d = "".join(c for c in s if c.isdigit())
-        return _refill(s, d[:-10] + self._digits(d[-10:], "phone"))
+        if not 8 <= len(d) <= 15:
+            return None
+        keep = max(len(d) - 10, 0) if len(d) > 11 or len(d) == 10 else len(d) - 10 if len(d) == 11 else 2
+        return _refill(s, d[:keep] + self._digits(d[keep:], "phone"))
 
     def ip(self, s: str) -> str | None:
+        if ":" in s:
+            return self._ipv6(s)
         parts = [int(x) for x in s.split(".")]
         if max(parts) > 255:
             return None
         n = self.permute(int.from_bytes(bytes(parts), "big"), 1 << 32, b"ip")
         return ".".join(str(x) for x in n.to_bytes(4, "big"))
 
+    def _ipv6(self, s: str) -> str | None:
+        try:
+            ipaddress.IPv6Address(s)
+        except ValueError:
+            return None
+        if not any(c.isdigit() for c in s):  # as in a::b of a program
+            return None
+        new = s
+        while True:
+            groups = [f"{self.permute(int(g, 16), 16 ** len(g), b'ip6-%d-%d' % (k, len(g))):0{len(g)}x}" if g else "" for k, g in enumerate(new.split(":"))]
+            new = ":".join(groups)
+            if any(c.isdigit() for c in new):
+                return new.upper() if any("A" <= c <= "F" for c in s) else new
+
     def date(self, s: str) -> str | None:
-        iso = s[4] == "-"
+        iso = not s[4].isdigit()
         y, m, d = (s[:4], s[5:7], s[8:]) if iso else (s[6:], s[3:5], s[:2])
         try:
             day = date(int(y), int(m), int(d)).toordinal() - _FIRST_DAY
@@ -164,26 +208,25 @@ class Pseudonymizer:
         if not 0 <= day < _DAYS:
             return None
         new = date.fromordinal(self.permute(day, _DAYS, b"date") + _FIRST_DAY)
-        return new.isoformat() if iso else f"{new.day:02d}{s[2]}{new.month:02d}{s[5]}{new.year:04d}"
+        return new.isoformat().replace("-", s[4]) if iso else f"{new.day:02d}{s[2]}{new.month:02d}{s[5]}{new.year:04d}"
 
     def email(self, s: str) -> str | None:
         name, _, domain = s.partition("@")
-        letters = "".join(c for c in name.lower() if c.isalpha())
-        digits = "".join(c for c in name if c.isdigit())
-        mixed = iter(self._in_base(letters, "abcdefghijklmnopqrstuvwxyz", f"name@{domain.lower()}"))
-        number = iter(self._digits(digits, f"number@{domain.lower()}"))
+        by: dict[str, list[str]] = {}
+        for c in name:
+            alphabet, small = _kind_of(c)
+            by.setdefault(alphabet, []).append(small)
+        new = {a: iter(self._in_base("".join(some), a, f"name{ord(a[0])}@{domain.lower()}")) if a else iter(some) for a, some in by.items()}
         out = []
         for c in name:
-            if c.isdigit():
-                out.append(next(number))
-            elif c.isalpha():
-                x = next(mixed)
-                out.append(x.upper() if c.isupper() else x)
-            else:
-                out.append(c)
+            alphabet, small = _kind_of(c)
+            x = next(new[alphabet])
+            out.append(x.upper() if small != c else x)
         return "".join(out) + "@" + domain
 
     def secret(self, s: str) -> str | None:
+        if s[1:4] in ("KIA", "SIA"):
+            return s[:4] + self._in_base(s[4:], _UPPER_KEY, "access key")
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             return None
         n = len(s)
@@ -246,9 +289,17 @@ def rewrite_udf(key: bytes):
     return text_udf(make, "text string, spans array<struct<kind:string,start:int,end:int>>")
 
 
+_DRAWN: dict[str, bytes] = {}
+
+
 def key_of(spark) -> bytes:
-    """The key in the session setting ``parley.pii.key``; without it, a fixed one for tests."""
-    return (spark.conf.get("parley.pii.key", None) or "parley: not a secret").encode()
+    """The key in the session setting ``parley.pii.secret.key`` (a name that Spark leaves out of its logs).
+
+    Without the setting a random one is drawn for the application: values are linked in all it writes,
+    nobody can undo them, and another application links nothing to them.
+    """
+    given = spark.conf.get("parley.pii.secret.key", None)
+    return given.encode() if given else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def pseudonyms(docs: DataFrame, key: bytes, keep: tuple = ("doc_id",)) -> DataFrame:
