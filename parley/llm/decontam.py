@@ -14,22 +14,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, text_udf
+from .common import bounded_batches, fresh, settle, text_udf
 
 WINDOW = 13
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: The bytes of words, with A-Z lower-cased; all others become spaces.
 _PLAIN = bytes(c + 32 * (65 <= c <= 90) if _WORD.match(bytes([c + 32 * (65 <= c <= 90)])) else 32 for c in range(256))
-#: One automaton holds items of about so many bytes; more items make more automata.
+#: An automaton holds items of about so many bytes (some 400 MB in a worker); a larger benchmark takes a pass for each shard.
 AUTOMATON_BYTES = 4 << 20
-RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words long, runs array<struct<start:int,end:int>>, items array<string>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -37,13 +39,17 @@ def words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "replace").translate(_PLAIN).split()
 
 
-def item_blocks(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list[list[tuple]]:
-    """The items in blocks of bounded size, each fetched by itself.  A benchmark is normally one block."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // limit))
-    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
-    return [[tuple(r) for r in items.where(part == k).distinct().collect()] for k in range(n)]
+class Items:
+    """The items of a benchmark in shards of bounded size, of which the driver fetches one at a time; normally there is one."""
+
+    def __init__(self, benchmark: DataFrame, limit: int):
+        self.rows = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
+        total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.shards = max(1, -(-total // limit))
+
+    def shard(self, k: int) -> list[tuple]:
+        one = F.pmod(F.xxhash64("id", "text"), F.lit(self.shards)) == k
+        return sorted((tuple(r) for r in self.rows.where(one).distinct().collect()), key=lambda r: (r[0] or "", r[1]))
 
 
 class Scanner:
@@ -101,47 +107,98 @@ class Scanner:
                     who.add(item)
 
 
-def _spans(text: str, hit: bytearray) -> list[dict]:
-    """Character ranges of the runs of marked words in the original text."""
+def _spans(text: str, runs: list[tuple[int, int]]) -> list[dict]:
+    """Character ranges of runs of words in the original text."""
     raw = text.encode("utf-8", "replace")
     at = [m.span() for m in _WORD.finditer(raw.lower())]
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.frombuffer(hit, dtype=np.uint8).astype(np.int8), [0]))))
-    begin = [(at[a][0], at[b - 1][1]) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True)]
     # bytes to characters: continuation bytes do not count
     chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
-    return [{"start": int(chars[a]), "end": int(chars[b])} for a, b in begin]
+    return [{"start": int(chars[at[a][0]]), "end": int(chars[at[b - 1][1]])} for a, b in runs]
+
 
+#: The automaton of this Python worker, by its scan: built once, whatever the number of tasks.
+_HELD: dict[str, Scanner] = {}
 
-def scan_udf(blocks: list[list[tuple]], window: int = WINDOW) -> Callable:
-    """A column function from a text to RESULT."""
+
+def scan_udf(spark: SparkSession, items: list[tuple], window: int = WINDOW) -> Callable:
+    """A column function from a text to the words found by one automaton: n_words, runs of word numbers, items."""
+    shared = spark.sparkContext.broadcast(items)  # at most AUTOMATON_BYTES and one item
+    number = uuid.uuid4().hex
 
     def make():
-        held: list[Scanner] = [Scanner(blocks[0], window)] if len(blocks) == 1 else []
+        if number not in _HELD:
+            _HELD.clear()
+            _HELD[number] = Scanner(shared.value, window)
+        one = _HELD[number]
 
         def fn(texts: list) -> dict:
-            found = [words(t) for t in texts]
-            hits, whos = [bytearray(len(f)) for f in found], [set() for _ in found]
-            for one in held or (Scanner(b, window) for b in blocks):  # several: one automaton in memory at a time
-                for f, hit, who in zip(found, hits, whos, strict=True):
-                    if f:
-                        one.scan(f, hit, who)
-            return {
-                "n_words": [len(f) for f in found],
-                "n_hit": [sum(h) for h in hits],
-                "items": [sorted(x for x in w if x is not None) for w in whos],
-                "spans": [_spans(t, h) if any(h) else [] for t, h in zip(texts, hits, strict=True)],
-            }
+            sizes, runs, items = [], [], []
+            for t in texts:
+                found = words(t)
+                hit, who = bytearray(len(found)), set()
+                one.scan(found, hit, who)
+                sizes.append(len(found))
+                runs.append(_runs(np.frombuffer(hit, dtype=np.uint8)))
+                items.append(sorted(x for x in who if x is not None))
+            return {"n_words": sizes, "runs": runs, "items": items}
 
         return fn
 
-    return text_udf(make, RESULT)
+    return text_udf(make, FOUND)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and, per document, n_words, n_hit, items, spans (characters) and contaminated."""
+def _runs(hit: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).tolist()
+    return [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
+
+
+def _joined(runs: Column) -> Column:
+    """Sorted disjoint ranges from the ranges of several passes."""
+    first = F.array_sort(F.flatten(runs))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= r["start"]), longer).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(first, none, add)
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a column (its name follows) of FOUND.  Each shard of the items is one pass, written to the shared folder if there are several."""
     bounded_batches(docs.sparkSession)
-    blocks = item_blocks(benchmark)
-    out = docs.select(*keep, scan_udf(blocks, window)("text").alias("s")).select(*keep, "s.*")
+    items = Items(benchmark, limit or AUTOMATON_BYTES)
+    names = fresh(docs, *[f"scan{k}" for k in range(items.shards)], "scan")
+    for k, name in enumerate(names[:-1]):
+        docs = docs.withColumn(name, scan_udf(docs.sparkSession, items.shard(k), window)("text"))
+        docs = settle(docs) if items.shards > 1 else docs
+    if items.shards == 1:
+        return docs, names[0]
+    each = lambda f: F.array(*[F.col(n)[f] for n in names[:-1]])
+    whole = F.struct(F.col(names[0])["n_words"].alias("n_words"), _joined(each("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(each("items")))).alias("items"))
+    return docs.withColumn(names[-1], whole).drop(*names[:-1]), names[-1]
+
+
+def _hits(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+
+
+def spans_of(text: str | None, runs) -> list[dict]:
+    """Character ranges in the original text of runs of words."""
+    return _spans(text, [(r["start"], r["end"]) for r in runs]) if runs is not None and len(runs) else []
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple = ("doc_id",), limit: int | None = None) -> DataFrame:
+    """The columns ``keep`` and, per document, n_words, n_hit, items, spans (characters) and contaminated."""
+    marked, name = scanned(docs.select(*keep, "text"), benchmark, window, limit)
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([spans_of(t, r) for t, r in zip(texts, runs, strict=True)])
+
+    s = F.col(name)
+    out = marked.select(*keep, s["n_words"].alias("n_words"), _hits(s["runs"]).alias("n_hit"), s["items"].alias("items"), spans("text", s["runs"]).alias("spans"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -152,11 +209,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The clean documents, all columns as they came."""
-    bounded_batches(docs.sparkSession)
-    (name,) = fresh(docs, "scan")
-    s = scan_udf(item_blocks(benchmark))("text")
-    marked = docs.withColumn(name, s)
-    return marked.where(~((F.col(name)["n_hit"] > 0) & (20 * F.col(name)["n_hit"] >= F.col(name)["n_words"]))).select(*docs.columns)
+    marked, name = scanned(docs, benchmark)
+    n, hit = F.col(name)["n_words"], _hits(F.col(name)["runs"])
+    return marked.where(~((hit > 0) & (20 * hit >= n))).select(*docs.columns)
 
 
 def sha256_of(items: list[str]) -> str:
