@@ -6,16 +6,16 @@ phrase, and the next phrase begins at the first symbol that did not fit.  The
 language that needs the fewest phrases per symbol, times the logarithm of its
 training length, wins.
 
-Texts become sequences of lower-cased letters with one gap symbol between runs of
-letters, parsed in blocks of ``BLOCK`` symbols (a phrase ends at a block's end), so
+Texts become sequences of the UTF-8 bytes of lower-cased letters, whatever the script,
+with one gap symbol between runs of letters, parsed in blocks of ``BLOCK`` symbols (a phrase ends at a block's end), so
 that one long text is many short walks.  The automata are flattened to transition
 tables in which a failed match restarts at the root, and all walks of a batch step
 together.
 
 Training text is bounded: ``TRAIN_SYMBOLS`` symbols per language, fewer where the
-tables of many languages would exceed ``TABLE_STATES`` states in all.  The alphabet is bounded
-too: only the ``ALPHABET - 2`` commonest letters of all languages together have symbols of their
-own; all others share one, which makes languages of large or several scripts alike.
+tables of many languages would exceed ``TABLE_STATES`` states in all, from texts of which
+at most the first ``SAMPLE_CHARS`` characters are learned.  Every language with a
+labelled text that has a letter there is learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is any
 text when nothing was learned.  Ties go to the language first by code point.
@@ -32,34 +32,44 @@ from .kernels import CharTable, blocks
 
 TRAIN_SYMBOLS = 48_000
 TABLE_STATES = 600_000
-ALPHABET = 64
+#: Characters of a text that training looks at.
+SAMPLE_CHARS = 20_000
 BLOCK = 2048
 
 
 class Alphabet:
-    """Symbols: 0 gap, 1 any other letter, seen in training or not, then the commonest letters."""
+    """Symbols: 0 gap, 1 any byte of a letter that training did not have, then those it had."""
 
-    def __init__(self, letters: list[str]):
-        self.number = {c: k + 2 for k, c in enumerate(letters[: ALPHABET - 2])}
-        self.size = 2 + len(self.number)
+    def __init__(self, seen: bytes):
+        self.size = 2 + len(seen)
+        self.number = np.ones(256, dtype=np.uint8)
+        self.number[np.frombuffer(seen, dtype=np.uint8)] = np.arange(2, self.size, dtype=np.uint8)
+        self.number[32] = 0
         self.table: CharTable | None = None
 
-    def _of(self, ch: str) -> int:
-        return self.number.get(ch, int(ch.isalpha()))
-
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts in a row, and each text's number of symbols.  Runs of gaps are one."""
-        self.table = self.table or CharTable(self._of)
-        low = [t.lower() for t in texts]
-        code = self.table(np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype=np.uint32))
-        size = np.array([len(t) for t in low], dtype=np.int64)
-        owner = np.repeat(np.arange(len(low)), size)
-        keep = np.ones(len(code), dtype=bool)
-        keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (owner[1:] != owner[:-1])
-        return code[keep], np.bincount(owner[keep], minlength=len(low))
+        self.table = self.table or CharTable(lambda c: int(c.isalpha()))
+        data, size = letter_bytes(texts, self.table)
+        return self.number[data], size
+
+
+def letter_bytes(texts: list[str], table: CharTable) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of the lower-cased letters of all texts, a blank for each run of others, and each text's number of them."""
+    low = [t.lower() for t in texts]
+    code = np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype=np.uint32)
+    size = np.array([len(t) for t in low], dtype=np.int64)
+    owner = np.repeat(np.arange(len(low)), size)
+    letter = table(code) != 0
+    keep = np.ones(len(code), dtype=bool)
+    keep[1:] = letter[1:] | letter[:-1] | (owner[1:] != owner[:-1])
+    kept = np.where(letter, code, 32)[keep].astype("<u4")
+    width = 1 + (kept > 0x7F).astype(np.int64) + (kept > 0x7FF) + (kept > 0xFFFF)
+    data = np.frombuffer(kept.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+    return data, np.bincount(np.repeat(owner[keep], width), minlength=len(low))
 
 
 def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
@@ -98,19 +108,16 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS):
         self.langs = sorted(lang for lang, t in texts.items() if any(c.isalpha() for x in t for c in x))
-        counts: dict[str, int] = {}
-        for lang in self.langs:
-            for t in texts[lang]:
-                for c in t.lower():
-                    counts[c] = counts.get(c, 0) + 1
-        letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))
-        self.alphabet = Alphabet(letters)
-        width = self.alphabet.size
         bound = min(symbols, max(64, TABLE_STATES // (2 * max(1, len(self.langs)))))
+        table = CharTable(lambda c: int(c.isalpha()))
+        learnt = {lang: letter_bytes(["\n".join(texts[lang])], table)[0][:bound] for lang in self.langs}
+        seen = sorted({b for data in learnt.values() for b in np.unique(data).tolist()} - {32})
+        self.alphabet = Alphabet(bytes(seen))
+        width = self.alphabet.size
         tables, self.roots, self.cost = [], [], []
         base = 0
         for lang in self.langs:
-            seq = self.alphabet.symbols(["\n".join(texts[lang])])[0][:bound].tolist()
+            seq = self.alphabet.number[learnt[lang]].tolist()
             go = suffix_automaton(seq)
             # state * 4 + phrases that end: a failed symbol begins a new phrase, or is one if the root fails too
             table = np.full((len(go), width), 2, dtype=np.int32)
@@ -174,19 +181,18 @@ class Model:
 def train(docs: DataFrame, fold: int = 5, held_out: int = 0, symbols: int = TRAIN_SYMBOLS) -> Model:
     """A model from the text and lang of documents outside the held-out fold.
 
-    Of each language, a spread of texts of at most 20,000 characters that together hold about twice the symbols needed.
+    Of each language, a spread of texts that together hold about twice the symbols needed, and the first of them in any case.
     """
-    learn = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 1 AND 20000")
-    learn = learn.where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
-    have = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    if not have:
-        return Model({})
-    share = F.lit(0)
-    for lang, n in have.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2.5 * symbols / n) * (1 << 30)))).otherwise(share)
-    picked = learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= share).collect()
+    text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
+    learn = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string")) % fold != held_out)
+    learn = learn.select("lang", text, F.xxhash64("doc_id", "text").alias("place")).where(F.regexp_like("text", F.lit(r"\p{L}")))
+    place = F.pmod("place", F.lit(1 << 30))
+    # of each language the share of its hash that holds 2.5 times the symbols, or up to its least hash
+    some = learn.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min(place).alias("least"))
+    some = some.select(F.col("lang").alias("lang_"), F.greatest(F.least(F.lit(1.0), 2.5 * symbols / F.col("n")) * (1 << 30), "least").alias("share"))
+    picked = learn.join(some, (F.col("lang") == F.col("lang_")) & (place <= F.col("share"))).select("lang", "place", "text").collect()
     texts: dict[str, list[str]] = {}
-    for r in sorted(picked, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+    for r in sorted(picked, key=lambda r: (r["lang"], r["place"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     return Model(texts, symbols)
 
