@@ -17,11 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (single-machine tests) a temporary folder is
-    set once for the session and removed at exit.
+    Where the setting is absent and all threads are of this process (tests), a temporary folder is
+    set once for the session and removed at exit; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="parley-")
         atexit.register(shutil.rmtree, local, True)
         at = f"file://{local}"
@@ -38,9 +40,15 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, records: int = 512) -> None:
-    """Keep Arrow batches small, as one text may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+    """Keep Arrow batches small, as one text may be very long.
+
+    This lowers two settings of the session, to the same values for every operator, as a lazy plan
+    runs under what holds when it runs; smaller values of the caller stay.
+    """
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", 16 << 20)):
+        have = str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).removesuffix("b")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -35,6 +35,8 @@ LEAST_AGREEING = 3
 SMALL_KEY = 16
 #: A block holds about so many sets, or so many shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Up to so many ids (16 MB) are broadcast to find their texts; more are joined.
+BROADCAST_IDS = 1_000_000
 
 
 class Plan:
@@ -97,7 +99,7 @@ class _Run:
         """(node, shingles) of the wanted nodes, made anew from one text of each."""
         reps = wanted.join(self.nodes.select("node", "rep"), "node").select("rep").distinct()
         reps = settle(reps)
-        if reps.count() <= 1_000_000:  # 16 MB
+        if reps.count() <= BROADCAST_IDS:
             reps = F.broadcast(reps)
         texts = self.docs.select("doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = texts.select(_sets(self.plan)("text").alias("s")).select("s.*").where("node <> 0")

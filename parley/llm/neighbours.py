@@ -169,7 +169,7 @@ def _stream(plan: Plan):
 def linked(vectors: DataFrame, cosine: float = 0.98, seed: int = 77) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.  See the module's docstring."""
     spark = vectors.sparkSession
-    bounded_batches(spark, 2048)
+    bounded_batches(spark)
     e = F.col("embedding")
     fine = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
