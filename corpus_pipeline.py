@@ -31,8 +31,8 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with how often the mix takes it, and into which output shards."""
-    return mixing.mixed(docs)
+    """The mix itself: a row for each time a document is taken, with its output shard, a document taken in part cut."""
+    return mixing.shards_of(docs)
 
 
 STAGES = [
