@@ -17,8 +17,7 @@ block.  ``shards_of`` makes the shards, each shuffled by itself.
 
 The driver holds a few numbers per source and shard and at most ``BLOCKS`` block sums at a
 time, whatever the number of documents; sources are not limited, but their table is small
-only as long as they are categories.  It is joined without a hint, so a table above the
-session's broadcast threshold is shuffled, in a join that adaptive execution can split.
+only as long as they are categories.  It is broadcast up to ``BROADCAST_CELLS``; beyond, the joins shuffle.
 
 Defined cases: null texts have size 0 and are taken 0 words.  A null source is a source of its
 own, last in order.  Rows repeated with id, source and text share their fate, and where
@@ -41,6 +40,8 @@ _FINE = 1 << 10  # positions are multiplied by up to 2**20 blocks, in 64 bits
 #: Blocks of all sources together, as long as there are fewer sources; a source has at most ``MOST`` of them.
 BLOCKS, MOST = 1 << 18, 1 << 12
 BLOCK_DOCS = 64
+#: Tables of up to so many rows, shards counted, are broadcast (16 MB).
+BROADCAST_CELLS = 1 << 18
 
 
 def targets(sizes: list[int], weights: tuple = (1, 2, 3), cap: int = 3) -> list[float]:
@@ -132,7 +133,9 @@ class Mix:
         return a, c
 
     def _frame(self, schema: str, rows: list) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        """A table made on the driver, broadcast if it is small; a larger one is joined by shuffles that adaptive execution can split."""
+        df = self.spark.createDataFrame(rows, schema)
+        return F.broadcast(df) if len(rows) * (1 + schema.count("array") * self.shards) <= BROADCAST_CELLS else df
 
     def _choose(self, rows: DataFrame) -> None:
         """The blocks, the position and the words that come to each source's rest."""

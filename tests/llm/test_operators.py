@@ -637,6 +637,7 @@ def test_leading_words_of_a_long_text(spark):
 def test_many_sources_share_the_blocks(spark, monkeypatch):
     assert sum(mixing.block_counts([10**9] * 1000)) <= mixing.BLOCKS and min(mixing.block_counts([1] * 300_000)) == 1
     monkeypatch.setattr(mixing, "BLOCKS", 64)
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
     test_mixing_meets_targets(spark)
 
 
