@@ -15,9 +15,10 @@ confirmed run counts once in n_license if no single line of the text is confirme
 family.  A run has one family, its likeliest; n_unknown counts single lines, of wrapped notices too.
 
 Scoring is DataFrame operations only.  A paragraph can only be licensing if it has an
-n-gram that speaks for it; of each such n-gram the word that ordinary text has least
-is looked for first, and a paragraph without any is ``none``, exactly.  Of the others
-only numbers are shuffled, one row per paragraph and task.
+n-gram that speaks for it; one regular expression of all of them passes over every whole
+text and then over the lines of those that match, and what does not match is ``none``,
+exactly.  The others are cut into words; of them only numbers are shuffled, one row per
+paragraph and task.
 
 Defined cases: null and empty texts have no paragraphs.  Blank lines are not counted.
 Rows repeated with id and text get the same result.
@@ -25,6 +26,7 @@ Rows repeated with id and text get the same result.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -137,22 +139,40 @@ def triples_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
-class Model:
-    """Weights of n-grams by class relative to ``none``, biases, temperature, and the words that any licensing prediction needs."""
+def _pattern(grams: set[str]) -> str | None:
+    """A regular expression for lower-cased text that finds any of some word n-grams, as a tree of their characters."""
+    tree: dict = {}
+    for g in sorted(grams):
+        at = tree
+        for c in g:
+            at = at.setdefault(c, {})
+        at[""] = {}
 
-    def __init__(self, grams: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, common: dict[str, int] | None = None):
-        self.grams, self.weights, self.bias, self.temperature = grams, weights, bias, temperature
-        self.needed = self._needed(common or {})
+    def of(node: dict) -> str:
+        some = ["(?![a-z0-9])" if c == "" else ("[^a-z0-9]+" if c == " " else c) + of(node[c]) for c in sorted(node)]
+        return some[0] if len(some) == 1 else f"(?:{'|'.join(some)})" if some else ""
 
-    def _needed(self, common: dict[str, int]) -> list[str]:
-        """One word, the least common in ordinary text, of every n-gram that speaks for any licence.
+    return "(?<![a-z0-9])" + of(tree) if tree else None
 
-        A paragraph with none of them has no such n-gram, so ``none``, whose bias is the greatest, wins.
-        """
-        if (self.bias[1:] >= 0).any():
-            raise ValueError("without n-grams a paragraph would not be 'none'")
-        gain = self.weights[:, 1:].max(axis=1) if len(self.grams) else np.zeros(0)
-        return sorted({min(g.split(), key=lambda w: (common.get(w, 0), w)) for g, x in zip(self.grams, gain, strict=True) if x > 0})
+
+class Model:
+    """Weights of n-grams by class relative to ``none``, biases, temperature, and the pattern that any licensing paragraph matches."""
+
+    def __init__(self, grams: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.grams, self.weights, self.bias, self.temperature = grams, weights, bias, temperature
+        gain = weights[:, 1:].max(axis=1) if len(grams) else np.zeros(0)
+        speaking = {g for g, x in zip(grams, gain, strict=True) if x > 0}
+        #: The n-grams that speak for any licence, shorter ones for longer ones that hold them.
+        self.needed = {g for g in speaking if " " not in g or not speaking & set(g.split())}
+        #: Whether a paragraph without any of them is ``none``, whose bias then is the greatest; if not, every paragraph is scored.
+        self.decides = bool((bias[1:] < 0).all())
+
+    def among(self, text: Column) -> Column:
+        """Whether a lower-cased text can hold a licensing paragraph."""
+        if not self.decides:
+            return F.lit(True)
+        pattern = _pattern(self.needed)
+        return F.lit(False) if pattern is None else F.regexp_like(text, F.lit(pattern))
 
     def probabilities(self, text: str) -> np.ndarray:
         """The plain form of what the DataFrame plan computes, for tests."""
@@ -223,7 +243,7 @@ def fit(ordinary: list[str], seed: int = 10, steps: int = 250) -> Model:
         p /= p.sum(axis=1, keepdims=True)
         best = min(best, (float(-np.log(np.maximum((p * y[kept]).sum(axis=1), 1e-9)).mean()), float(t)))
     some = np.abs(w).max(axis=1) > 0
-    return Model([g for g, s in zip(grams, some, strict=True) if s], w[some], b, best[1], common)
+    return Model([g for g, s in zip(grams, some, strict=True) if s], w[some], b, best[1])
 
 
 def train(docs: DataFrame, seed: int = 10) -> Model:
@@ -231,7 +251,8 @@ def train(docs: DataFrame, seed: int = 10) -> Model:
     usable = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     n = usable.count()
     share = min(1.0, SAMPLE_TEXTS / max(1, n))
-    picked = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text").distinct().limit(4 * SAMPLE_TEXTS).collect()
+    place = F.xxhash64("text").alias("place")
+    picked = usable.where(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30))).select("text", place).distinct().orderBy("place", "text").limit(4 * SAMPLE_TEXTS).collect()
     lines = sorted({p for r in picked for p in r["text"].split("\n") if p.strip()})
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(lines))[:SAMPLE_PARAGRAPHS]
@@ -239,33 +260,60 @@ def train(docs: DataFrame, seed: int = 10) -> Model:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, h, line, kind, p, confirmed) of every paragraph that is not ``none``; h hashes the text."""
-    return _scan(docs, F.split("text", "\n"), model)
+    """(doc_id, h, line, kind, p, confirmed) of every line that is not ``none``; h hashes the text."""
+    return _scan(docs, model).where("NOT run").drop("run")
 
 
 def wrapped(docs: DataFrame, model: Model) -> DataFrame:
     """The same of every confirmed run of two or more lines without a blank line between, joined; line numbers the runs."""
-    runs = F.split("text", r"\n[^\p{L}\p{N}\n]*(?=\n)")
-    return _scan(docs, F.transform(runs, lambda r: F.when(F.regexp_like(r, F.lit(r"\S[^\n]*\n\s*\S")), r).otherwise(F.lit(""))), model, only_held=True).where("confirmed")
+    return _scan(docs, model).where("run AND confirmed").drop("run")
+
+
+def _anchors() -> set[str]:
+    """3-grams of which a paragraph that holds enough of any template has at least one.
+
+    It can lack only so many of a template's 3-grams, so of any larger number of them it has one; the longest are taken.
+    """
+    out: set[str] = set()
+    for t in (triples_of(words_of(t)) for ts in TEMPLATES.values() for t in ts):
+        out.update(sorted(t, key=lambda g: (-len(g), g))[: len(t) - math.ceil(CONFIRM * len(t)) + 1])
+    return out
+
+
+def _parts(lines: Column) -> Column:
+    """The lines of a text, and after them its runs of two or more lines between blank ones."""
+    marked = F.array_join(F.transform(lines, lambda x: F.when(F.regexp_like(x, F.lit(r"[\p{L}\p{N}]")), x).otherwise(F.lit(""))), "\n")
+    runs = F.transform(F.split(marked, "\n\n+"), lambda x, i: F.struct(F.lit(True).alias("run"), i.alias("line"), x.alias("p")))
+    several = F.filter(runs, lambda r: F.regexp_like(r["p"], F.lit(r"[^\n]\n[^\n]")) & F.regexp_like(r["p"], F.lit(_pattern(_anchors()))))
+    return F.concat(F.transform(lines, lambda x, i: F.struct(F.lit(False).alias("run"), i.alias("line"), x.alias("p"))), several)
+
+
+def _once(rows: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """``rows`` with more columns, each worked out once: a plain column is copied by the optimiser into each expression that uses it."""
+    return rows.select(*keep, F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in more.items()]))))
 
 
-def _scan(docs: DataFrame, parts: Column, model: Model, only_held: bool = False) -> DataFrame:
+def _scan(docs: DataFrame, model: Model) -> DataFrame:
+    """(run, doc_id, h, line, kind, p, confirmed) of lines that are not ``none`` and of runs that hold enough of a template."""
     spark = docs.sparkSession
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(parts).alias("line", "p"))
-    rows = rows.where("p <> ''") if only_held else rows
-    rows = rows.withColumn("w", _words(F.col("p"))).drop("p")
-    rows = rows.where(F.arrays_overlap("w", F.array(*[F.lit(w) for w in model.needed])) if model.needed else F.lit(False))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").where(model.among(F.lower("text")))
+    rows = _once(rows, ["doc_id"], h=F.xxhash64("text"), lines=F.split(F.lower("text"), "\n"))
+    # outer, as else the parts are worked out once more to see that there are some
+    rows = rows.select("doc_id", "h", F.explode_outer(_parts(F.col("lines"))).alias("part")).select("doc_id", "h", "part.*").where(model.among(F.col("p")))
+    keys = ["run", "doc_id", "h", "line"]
+    rows = _once(rows, keys, w=_words(F.col("p")))
     pair = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("grams", F.array_distinct(F.concat("w", pair)))
-    n3 = F.greatest(F.size("w") - 2, F.lit(1))
-    rows = rows.withColumn("triples", F.array_distinct(F.transform(F.sequence(F.lit(1), n3), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))))
-    if only_held:
-        every = sorted({g for ts in TEMPLATES.values() for t in ts for g in triples_of(words_of(t))})
-        rows = rows.withColumn("triples", F.array_intersect("triples", F.array(*[F.lit(g) for g in every]))).where(F.size("triples") > 0)
+    rows = _once(rows, [*keys, "w"], pair=pair)
+    # whole arrays side by side: a lambda over positions would cut the text into words again at each
+    each = F.zip_with(F.slice("pair", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(3), F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b))
+    triples = F.when(F.size("w") > 2, each).otherwise(F.array(F.array_join("w", " ")))
+    every = sorted({g for ts in TEMPLATES.values() for t in ts for g in triples_of(words_of(t))})
+    grams = F.array_intersect(F.concat("w", "pair"), F.array(*[F.lit(g) for g in model.grams]).cast("array<string>"))
+    rows = _once(rows, keys, grams=grams, triples=F.array_intersect(triples, F.array(*[F.lit(g) for g in every])))
     held = F.lit(0).cast("long")  # a bit per family one of whose templates the paragraph holds
     for k, name in enumerate(CLASSES[2:]):
         some = F.lit(False)
@@ -276,34 +324,32 @@ def _scan(docs: DataFrame, parts: Column, model: Model, only_held: bool = False)
     # the empty n-gram counts how often a repeated row has the paragraph
     table = [("", 1, *[0.0] * len(CLASSES)), *((g, 0, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True))]
     table = spark.createDataFrame(table, "gram string, one int, " + ", ".join(f"{n} double" for n in names))
-    rows = rows.withColumn("held", held)
-    rows = rows.where("held <> 0") if only_held else rows
-    rows = rows.select("doc_id", "h", "line", "held", F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram"))
+    rows = rows.withColumn("held", held).where("NOT run OR held <> 0")
+    rows = rows.select("run", "doc_id", "h", "line", "held", F.explode(F.concat(F.array(F.lit("")), "grams")).alias("gram"))
     hits = rows.join(F.broadcast(table), "gram")  # one row per template n-gram
-    z = hits.groupBy("doc_id", "h", "line").agg(F.max("held").alias("held"), F.sum("one").alias("n"), *[F.sum(n).alias(n) for n in names])
+    z = hits.groupBy("run", "doc_id", "h", "line").agg(F.max("held").alias("held"), F.sum("one").alias("n"), *[F.sum(n).alias(n) for n in names])
     z = z.withColumn("zs", F.array(*[(F.col(x) / F.col("n") + float(model.bias[k])) / model.temperature for k, x in enumerate(names)])).withColumn("top", F.array_max("zs"))
     z = z.withColumn("total", F.aggregate("zs", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))))
     z = z.withColumn("at", F.array_position("zs", F.col("top")).cast("int")).withColumn("p", 1 / F.col("total")).where("at > 1")
     confirmed = F.expr("at > 2 AND (held & shiftleft(1L, greatest(at - 3, 0))) <> 0") & (F.col("p") >= SURE)
     z = z.withColumn("confirmed", confirmed)
     kind = F.when(F.col("confirmed"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("at"))).otherwise(F.lit("unknown"))
-    return z.select("doc_id", "h", "line", kind.alias("kind"), "p", "confirmed")
+    return z.select("run", "doc_id", "h", "line", kind.alias("kind"), "p", "confirmed")
 
 
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_license, n_unknown, licenses (confirmed families, sorted, comma-joined), score (the surest)."""
-    lines = settle(paragraphs(docs, model))
-    known = lines.where("confirmed").select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), F.col("kind").alias("k_")).distinct()
-    more = wrapped(docs, model)
-    more = more.join(known, (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("kind") == F.col("k_")), "left_anti")
-    found = settle(lines.unionByName(more))
+    both = settle(_scan(docs, model).where("NOT run OR confirmed"))
+    known = both.where("NOT run AND confirmed").select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), F.col("kind").alias("k_")).distinct()
+    more = both.where("run").join(known, (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("kind") == F.col("k_")), "left_anti")
+    found = both.where("NOT run").unionByName(more)
     named = found.groupBy("doc_id", "h").agg(
         F.sum(F.col("confirmed").cast("long")).alias("n_license"),
         F.sum((~F.col("confirmed")).cast("long")).alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("kind")))), ",").alias("licenses"),
         F.max(F.when(F.col("confirmed"), F.col("p"))).alias("score"),
     )
-    blank = F.coalesce(F.regexp_count("text", F.lit(r"(?m)^.*\S.*$")), F.lit(0)).cast("long")
+    blank = F.coalesce(F.regexp_count("text", F.lit(r"\S[^\n]*")), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), blank.alias("n_paragraphs"))
     named = named.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "n_license", "n_unknown", "licenses", "score")
     out = rows.join(named, (F.col("h") == F.col("h_")) & F.col("doc_id").eqNullSafe(F.col("d_")), "left")
