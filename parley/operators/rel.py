@@ -75,3 +75,34 @@ def roots(edges: DataFrame) -> DataFrame:
         left = now
     good = F.col("done")
     return cur.select("node", F.when(good, F.col("up")).alias("root"), F.when(good, F.col("depth")).alias("depth"), (~good).alias("cycle"))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Pairs of rows with equal keys whose half-open spans (a0, a1) and (b0, b1) share a place, as an equi-join.
+
+    Each span goes to every stretch of ``width`` places it touches, and a pair counts in the first stretch that both touch.
+    """
+    cut = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))).alias("cell_")
+    x = a.where("a0 < a1").select("*", cut("a0", "a1")).join(b.where("b0 < b1").select("*", cut("b0", "b1")), [*keys, "cell_"])
+    return x.where((F.col("a0") < F.col("b1")) & (F.col("b0") < F.col("a1")) & (F.col("cell_") == F.floor(F.greatest("a0", "b0") / width))).drop("cell_")
+
+
+def narrowed(rows: DataFrame, keys: list[str], steps: list[Column]) -> DataFrame:
+    """Candidates of each key, narrowed step by step; a step that would leave none is left out.
+
+    All steps in one sort by the key: a row's flags are compared with the best that a step can have among the rows still there.
+    """
+    rows = rows.withColumn("in_", F.lit(True))
+    w = Window.partitionBy(*keys)
+    for step in steps:
+        fits = F.col("in_") & F.coalesce(step, F.lit(False))
+        rows = rows.withColumn("in_", F.when(F.max(fits).over(w), fits).otherwise(F.col("in_")))
+    return rows.where("in_").drop("in_")
+
+
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """A global dense rank by a column: its distinct values are numbered, and joined back."""
+    values = df.select(column).distinct()
+    rank = F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())).cast("long")
+    right = values.select(F.col(column).alias("value_"), rank.alias(name))
+    return df.join(right, F.col(column).eqNullSafe(F.col("value_"))).drop("value_")
