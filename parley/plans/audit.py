@@ -117,38 +117,6 @@ def agreement_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("n"), F.count_if(agree).alias("n_agree"), F.round(F.avg(F.when(agree, 1.0).otherwise(0.0)), 9).alias("share"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("both_one"))
 
 
-_STATUS = """CASE WHEN l.quality IS NULL THEN 'no_candidate' WHEN l.quality = 1 AND l.toxic = 0 THEN 'b_safe' WHEN l.quality = 1 THEN 'b_usable' ELSE 'b_review' END"""
-
-
-@register(
-    "method_b_safety",
-    f"SELECT d.doc_id, {_STATUS} AS status, concat_ws(',', CASE WHEN l.quality = 0 THEN 'low_quality' END, CASE WHEN l.toxic = 1 THEN 'toxic' END) AS reasons FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
-)
-def method_b_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status by precedence, with reasons in a fixed order."""
-    x = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    q, t = F.col("quality"), F.col("toxic")
-    status = F.when(q.isNull(), "no_candidate").when((q == 1) & (t == 0), "b_safe").when(q == 1, "b_usable").otherwise("b_review")
-    return x.select("doc_id", status.alias("status"), F.concat_ws(",", F.when(q == 0, F.lit("low_quality")), F.when(t == 1, F.lit("toxic"))).alias("reasons"))
-
-
-@register(
-    "monotonic_selection",
-    f"""WITH s AS (SELECT d.doc_id, CASE WHEN d.n_chars > 2000 THEN 'promote' WHEN d.n_chars > 300 THEN 'review' ELSE 'fallback' END AS a, {_STATUS} AS b, sha256(d.text) AS h FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
-SELECT doc_id, CASE WHEN a = 'promote' THEN 'A' WHEN b IN ('b_safe', 'b_usable') THEN 'B' ELSE 'A' END AS method,
-CASE WHEN a = 'promote' THEN 'promote_preserved' WHEN b IN ('b_safe', 'b_usable') THEN a || '_to_promote' ELSE a || '_preserved' END AS transition, h FROM s""",
-)
-def monotonic_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A promoted text never changes; else the other method's, if selectable; else the text as it was."""
-    b = method_b_safety(spark, sf_dir).select("doc_id", F.col("status").alias("b"))
-    n = F.col("n_chars")
-    a = F.when(n > 2000, "promote").when(n > 300, "review").otherwise("fallback")
-    d = table(spark, sf_dir, "documents").select("doc_id", a.alias("a"), F.sha2("text", 256).alias("h")).join(b, "doc_id")
-    usable = F.col("b").isin("b_safe", "b_usable")
-    move = F.when(F.col("a") == "promote", "promote_preserved").when(usable, F.concat("a", F.lit("_to_promote"))).otherwise(F.concat("a", F.lit("_preserved")))
-    return d.select("doc_id", F.when((F.col("a") != "promote") & usable, "B").otherwise("A").alias("method"), move.alias("transition"), "h")
-
-
 @register(
     "recovery_funnel",
     "SELECT count(*)::BIGINT AS n_all, count(l.doc_id)::BIGINT AS n_labelled, count(*) FILTER (l.quality = 1)::BIGINT AS n_good, count(*) FILTER (l.quality = 1 AND l.toxic = 0)::BIGINT AS n_final, round(count(*) FILTER (l.quality = 1 AND l.toxic = 0) / count(*), 9) AS coverage FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
@@ -160,16 +128,6 @@ def recovery_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.agg(F.count("*").alias("n_all"), F.count("has").alias("n_labelled"), F.count_if(F.col("quality") == 1).alias("n_good"), F.count_if(final).alias("n_final"), F.round(F.count_if(final) / F.count("*"), 9).alias("coverage"))
 
 
-@register(
-    "quality_flags",
-    "SELECT doc_id, text IS NULL AS missing_text, n_chars <> length(text) AS wrong_length, contains(text, chr(9)) AS has_tab, lang NOT IN ('en', 'fr', 'de', 'es') AS unknown_lang FROM documents",
-)
-def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N05."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.col("text").isNull().alias("missing_text"), (F.col("n_chars") != F.length("text")).alias("wrong_length"), F.col("text").contains("\t").alias("has_tab"), (~F.col("lang").isin("en", "fr", "de", "es")).alias("unknown_lang"))
-
-
 _GATES = {
     "DUP003_unique_ids": ("documents", "count(*) - count(DISTINCT doc_id)"),
     "LAB001_known_documents": ("labels l LEFT JOIN (SELECT doc_id AS known FROM documents) k ON k.known = l.doc_id", "sum(CASE WHEN known IS NULL THEN 1 ELSE 0 END)"),
