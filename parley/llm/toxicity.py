@@ -5,7 +5,8 @@ text.  Each is scaled by its naive Bayes log-count ratio, and a logistic
 regression with an L2 penalty is fitted on the scaled features.
 
 Training uses a documented, bounded sample: about ``rows`` labelled texts of at
-most ``chars`` characters, spread by a hash.  Scoring reads every text whole.
+most ``chars`` characters, spread by a hash.  Scoring reads every text whole, one that
+is longer than ``PIECE`` in overlapping pieces, so memory beyond the text is bounded.
 
 Defined cases: null and empty texts score as a text without features.  If no
 label of one class is there, every text scores the share of toxic labels (0
@@ -24,6 +25,8 @@ from .kernels import U64, blocks, mix64
 BITS = 18
 SIZES = (3, 4, 5)
 TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000
+#: Characters of a long text that are looked at together.
+PIECE = 1 << 20
 #: A feature is used when it occurs in at least so many training texts ...
 LEAST_TEXTS = 4
 #: ... and its log-count ratio is at least so far from 0.
@@ -54,6 +57,21 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_t), np.concatenate(out_f)
 
 
+def _long_text(text: str) -> np.ndarray:
+    """Which features a long text has, piece by piece; the same as ``_distinct`` finds in it as a whole."""
+    code = np.frombuffer((text.lower() + "\n").encode("utf-32-le", "replace"), dtype=np.uint32)
+    seen = np.zeros(1 << BITS, dtype=bool)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(code), PIECE):
+            part = code[lo : lo + PIECE + max(SIZES) - 1].astype(U64)
+            h = part.copy()
+            for size in range(2, min(max(SIZES), len(part)) + 1):
+                h = h[: len(part) - size + 1] * U64(0x100000001B3) + part[size - 1 :]
+                if size in SIZES:
+                    seen[(mix64(h + U64(size)) >> U64(64 - BITS)).astype(np.int64)] = True
+    return seen
+
+
 def _distinct(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     t, f = _grams(texts)
     if used is not None:
@@ -73,7 +91,10 @@ class Model:
         data = [t or "" for t in texts]
         used = self.weights != 0
         out = np.full(len(data), self.bias)
-        for lo, hi in blocks([len(t) for t in data], 1 << 20):
+        for lo, hi in blocks([len(t) for t in data], PIECE):
+            if hi == lo + 1 and len(data[lo]) > PIECE:
+                out[lo] += self.weights[_long_text(data[lo])].sum()
+                continue
             t, f = _distinct(data[lo:hi], used)
             out[lo:hi] += np.bincount(t, self.weights[f], hi - lo)
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))

@@ -6,6 +6,7 @@ import hashlib
 import io
 import ipaddress
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -125,6 +126,90 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows]) >= 0.97
 
 
+def plain_toxicity(texts, labels, steps=150, rate=0.1, l2=1e-4):
+    """The classifier with sets, dictionaries and loops; returns a scoring function."""
+    low = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & low
+        return x ^ x >> 31
+
+    def features(text):
+        t, out = text.lower() + "\n", set()
+        for n in (3, 4, 5):
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & low
+                out.add(mix((h + n) & low) >> (64 - toxicity.BITS))
+        return out
+
+    sets = [features(t) for t in texts]
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    ratio = {}
+    for f in set().union(*sets):
+        p = sum(f in s for s, y in zip(sets, labels, strict=True) if y)
+        q = sum(f in s for s, y in zip(sets, labels, strict=True) if not y)
+        r = math.log((p + 1) / (n1 + 2)) - math.log((q + 1) / (n0 + 2))
+        if p + q >= toxicity.LEAST_TEXTS and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[f] = r
+    w, b = dict.fromkeys(ratio, 0.0), math.log(n1 / n0)
+    m, v = {f: 0.0 for f in [*ratio, None]}, {f: 0.0 for f in [*ratio, None]}
+    for k in range(1, steps + 1):
+        err = [(1 / (1 + math.exp(-(b + sum(w[f] * ratio[f] for f in s if f in w)))) - y) / len(sets) for s, y in zip(sets, labels, strict=True)]
+        grad = {f: sum(e for e, s in zip(err, sets, strict=True) if f in s) * ratio[f] + l2 * w[f] for f in ratio} | {None: sum(err)}
+        for f, g in grad.items():
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g, 0.999 * v[f] + 0.001 * g * g
+            step = rate * (m[f] / (1 - 0.9**k)) / (math.sqrt(v[f] / (1 - 0.999**k)) + 1e-8) * min(1.0, 2 * (1 - k / (steps + 1)))
+            if f is None:
+                b -= step
+            else:
+                w[f] -= step
+    return lambda text: 1 / (1 + math.exp(-(b + sum(w[f] * ratio[f] for f in features(text) if f in w))))
+
+
+def test_toxicity_by_plain_loops(monkeypatch):
+    rng = random.Random(3)
+    bad, fine = ["idiot", "moron", "scum"], ["house", "garden", "river", "ännchen"]
+    texts, labels = [], []
+    for i in range(24):
+        words = [rng.choice(fine) for _ in range(4)] + [rng.choice(bad)] * (i % 2)
+        texts.append(" ".join(words).title() if i % 3 else " ".join(words))
+        labels.append(i % 2)
+    model, score = toxicity.fit(texts, labels), plain_toxicity(texts, labels)
+    cases = [*texts, "", "ab", "you scum", "a quiet river " * 30]
+    got = model.scores([*cases, None])
+    assert np.allclose(got[:-1], [score(t) for t in cases], atol=2e-3) and got[-1] == got[len(texts)]
+    whole = model.scores(["you SCUM of the river " * 60])
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    assert np.allclose(model.scores(["you SCUM of the river " * 60]), whole)
+
+
+def test_clashing_columns_of_side_tables(spark, docs, labels):
+    d = docs.limit(80)
+    odd = labels.withColumns({"text": F.lit("x"), "score": F.lit(1), "__toxic": F.lit(9), "source": F.lit("s"), "lang": F.lit("zz")})
+    for op in (lambda t: toxicity.toxicity(d, toxicity.train(docs, t)), lambda t: quality.quality(d, quality.train(docs, t))):
+        assert sorted(tuple(r) for r in op(odd).collect()) == sorted(tuple(r) for r in op(labels).collect())
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    more = bench.withColumns({"doc_id": F.lit(1), "id": F.lit("i"), "n_words": F.lit(2), "scan0": F.lit(3)})
+    assert sorted(map(str, decontam.contamination(d, more).collect())) == sorted(map(str, decontam.contamination(d, bench).collect()))
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(150)
+    odd = vectors.withColumns({"node": F.lit("n"), "n_links": F.lit(5), "g": F.lit(1), "kept": F.lit(0), "component_id": F.lit(2)})
+    assert sorted(tuple(r) for r in neighbours.linked(odd).collect()) == sorted(tuple(r) for r in neighbours.linked(vectors).collect())
+
+
+def test_licences_reworded_and_unseen(spark, docs):
+    model = licenses.train(docs)
+    known = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts if len(licenses.words_of(t)) >= 8]
+    reworded = [(name, "Note for users of this archive: " + t.replace("This work is", "Our archive is").replace("This software is", "Our tool is") + " Thank you.") for name, t in known]
+    unseen = ["Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: ISC", "This code is released under the terms of the Zlib license.", "Distributed under the Boost Software License, Version 1.0."]
+    rows = [(i, t) for i, t in enumerate([t for _, t in reworded] + unseen)]
+    got = {r["doc_id"]: r for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert np.mean([got[i]["licenses"] == name for i, (name, _) in enumerate(reworded)]) >= 0.85
+    assert not any(got[len(reworded) + k]["licenses"] for k in range(len(unseen)))
+
+
 def test_suffix_automaton_and_phrases():
     rng = random.Random(3)
     seq = [rng.randrange(3) for _ in range(60)]
