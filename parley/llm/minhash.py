@@ -151,19 +151,26 @@ class _Run:
         """Links inside large keys.
 
         Members of a key share a sub-signature of the first collection; grouped by that, each set is
-        sent once per column instead of once per key.  Groups are cut into blocks, and each pair of
-        blocks is a task's unit, whatever the group's size.
+        sent once per column instead of once per key.  Sets of a group's largest component are compared
+        with the others only, never with each other, so a hot group of which nearly all is linked is sent
+        once, not once for each of its blocks.  Both sides are cut into blocks, and each pair of blocks is
+        a task's unit, whatever the group's size.
         """
         size = self.plan.size
         nodes = settle(rest.select("node", "comp").distinct().join(self.nodes.select("node", "n", "sig"), "node"))
         sets = self.whole_sets(nodes.select("node"))
         g = nodes.select("node", "comp", "n", "sig", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("i"))
         g = g.withColumn("g", F.xxhash64("i", F.expr("sig[i]")))
-        per = g.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1 AND lo <> hi")
+        comps = g.groupBy("g", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        per = comps.groupBy("g").agg(F.count("*").alias("k"), F.max(F.struct("c", "w", "comp")).alias("top"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("k > 1")
+        blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK_SETS, w / BLOCK_SHINGLES)).cast("int")
         # settled, so that the join below is of two plain exchanges, whose hot groups adaptive execution can split
-        per = settle(per.select("g", F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("nb")))
-        g = g.join(per, "g").withColumn("block", F.pmod(F.xxhash64("node", "g"), F.col("nb")).cast("int"))
-        g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        per = settle(per.select("g", F.col("top.comp").alias("main"), blocks(F.col("top.c"), F.col("top.w")).alias("nm"), blocks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("no")))
+        g = g.join(per, "g").withColumn("is_main", F.col("comp") == F.col("main"))
+        place = F.xxhash64("node", "g")
+        g = g.withColumn("block", F.when(F.col("is_main"), F.pmod(place, "nm")).otherwise(F.col("nm") + F.pmod(place, "no")).cast("int"))
+        first = F.when(F.col("is_main"), F.col("nm")).otherwise(F.lit(0))
+        g = g.withColumn("other", F.explode(F.sequence(first, F.col("nm") + F.col("no") - 1)))
         g = g.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
         g = g.join(sets, "node").select("g", "bi", "bj", "block", "i", "node", "comp", "n", "sig", "shingles")
         percent = self.plan.percent
