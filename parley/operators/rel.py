@@ -106,3 +106,28 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.col(column).asc_nulls_last())).cast("long")
     right = values.select(F.col(column).alias("value_"), rank.alias(name))
     return df.join(right, F.col(column).eqNullSafe(F.col("value_"))).drop("value_")
+
+
+def ranked_values(df: DataFrame, key: str, value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """The values at some ranks (from 0; columns of n, the number of rows) of each key, as columns, with n, lo and hi.
+
+    Values are counted in bins of equal width; only the rows of the bins that hold a rank are looked at
+    again, counted by value first.  So a sort sees a bin of a key, never a key.
+    """
+    whole = df.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    whole = whole.withColumnRenamed(key, "k_")
+    x = df.select(F.col(key).alias("key_"), F.col(value).alias("v_")).join(whole, F.col("key_").eqNullSafe(F.col("k_")))
+    place = F.floor((F.col("v_") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
+    x = x.select("key_", "v_", F.when(F.col("hi") > F.col("lo"), F.least(place, F.lit(bins - 1))).otherwise(F.lit(0)).alias("bin_"))
+    counts = x.groupBy("key_", "bin_").agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(Window.partitionBy("key_").orderBy("bin_"))
+    counts = counts.withColumn("before_", upto - F.col("c_"))
+    wanted = whole.select("k_", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()])).alias("w")).select("k_", "w.*")
+    hold = counts.join(wanted, F.col("key_").eqNullSafe(F.col("k_"))).where("rank >= before_ AND rank < before_ + c_").select(F.col("key_").alias("k_"), F.col("bin_").alias("b_"), "name", F.col("rank") - F.col("before_"))
+    hold = hold.toDF("k_", "b_", "name", "place")
+    some = x.join(hold.select("k_", "b_").distinct(), F.col("key_").eqNullSafe(F.col("k_")) & (F.col("bin_") == F.col("b_")), "left_semi")
+    values = some.groupBy("key_", "bin_", "v_").agg(F.count("*").alias("c_"))
+    values = values.withColumn("end_", F.sum("c_").over(Window.partitionBy("key_", "bin_").orderBy("v_")))
+    found = values.join(hold, F.col("key_").eqNullSafe(F.col("k_")) & (F.col("bin_") == F.col("b_"))).where("place < end_ AND place >= end_ - c_")
+    found = found.groupBy("key_").pivot("name", list(ranks)).agg(F.first("v_"))
+    return whole.join(found, F.col("key_").eqNullSafe(F.col("k_"))).drop("key_").withColumnRenamed("k_", key)

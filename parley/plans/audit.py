@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import rel
 from ..sources import table
 from .registry import register
 
@@ -102,9 +103,14 @@ def ht_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(median(value), 6) AS p50, round(quantile_disc(value, 0.9), 6) AS p90, max(value) AS top FROM events GROUP BY event_type",
 )
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quantiles, p05 and p50 interpolated, p90 by nearest rank."""
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), F.round(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)"), 6).alias("p90"), F.max("value").alias("top"))
+    """Exact quantiles, p05 and p50 interpolated, p90 by nearest rank; no group is held as a whole."""
+    n = F.col("n")
+    at = lambda q: (n - 1) * F.lit(q)
+    low, up = lambda q: F.floor(at(q)), lambda q: F.ceil(at(q))
+    ranks = {"a5": low(0.05), "b5": up(0.05), "a50": low(0.5), "b50": up(0.5), "p90": F.ceil(0.9 * n) - 1}
+    x = rel.ranked_values(table(spark, sf_dir, "events").where("value IS NOT NULL"), "event_type", "value", ranks)
+    between = lambda a, b, q: F.round(F.col(a) + (F.col(b) - F.col(a)) * (at(q) - F.floor(at(q))), 6)
+    return x.select("event_type", between("a5", "b5", 0.05).alias("p05"), between("a50", "b50", 0.5).alias("p50"), F.round("p90", 6).alias("p90"), F.col("hi").alias("top"))
 
 
 @register(

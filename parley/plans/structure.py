@@ -21,7 +21,7 @@ SELECT o.id, o.conv_id, o.role, o.local_order::BIGINT AS local_order, CASE WHEN
 FROM o LEFT JOIN o t ON t.conv_id = o.conv_id AND t.id = o.reply_to""",
 )
 def annotation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order within the case, substantive order, speaker number and the reply target's order, in one shuffle."""
+    """Order within the case, substantive order, speaker number and the reply target's order; both shuffles are by case, for the windows and for the targets."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     big = F.length("text") >= 40
     o = utterances(spark, sf_dir).withColumn("local_order", F.row_number().over(w).cast("long"))

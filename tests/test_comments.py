@@ -157,3 +157,31 @@ def test_disjoint_priority_sample(spark):
         want += [(i, name) for i in fits]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert report == [("zero", 10, 10), ("even", 60, 60), ("all", 20, 20), ("none", 5, 0)]
+
+
+def test_simhash_tables_find_all_near_hashes():
+    from parley.plans.textual import _masks
+
+    rng = random.Random(8)
+    masks = _masks()
+    assert len(masks) == 20
+    for _ in range(2000):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randrange(4)):
+            b ^= 1 << bit
+        assert any((a ^ b) & m & (1 << 64) - 1 == 0 for m in masks)
+
+
+def test_ranked_values(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators import rel
+
+    rng = random.Random(4)
+    rows = [("a", rng.choice([0.0, 1.0, rng.random() * 1e6])) for _ in range(500)] + [("b", 7.0)] * 9 + [(None, float(i)) for i in range(10)]
+    d = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: (r["x"], r["y"], r["z"]) for r in rel.ranked_values(d, "k", "v", {"x": F.lit(0), "y": F.floor(F.col("n") / 2), "z": F.col("n") - 1}, bins=16).collect()}
+    for k in ("a", "b", None):
+        v = sorted(x for n, x in rows if n == k)
+        assert got[k] == (v[0], v[len(v) // 2], v[-1])
