@@ -21,7 +21,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import audit, decisions, files, ledger, recovery, relations, scalars, structure, temporal, textual  # noqa: F401
+    from . import audit, decisions, exports, files, ledger, recovery, relations, scalars, structure, temporal, textual  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet scan; the columns that a query selects are the only ones it reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
