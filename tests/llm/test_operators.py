@@ -460,9 +460,9 @@ def test_decontamination_against_brute_force(spark):
     texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(80))) + " " + rng.choice(items)[1].upper() + "! é" for _ in range(60)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    several = decontam.contamination(d, b, limit=200)  # a pass for each of some shards
+    several = decontam.contamination(d, b, limit=100)  # a pass for each of some shards
     whole = {r["doc_id"]: r for r in decontam.contamination(d, b).collect()}
-    assert decontam.Items(b, 200).shards > 3 and {r["doc_id"]: r for r in several.collect()} == whole
+    assert decontam.Items(b, 100).shards > 3 and {r["doc_id"]: r for r in several.collect()} == whole
     for r in whole.values():
         w, hit, who = decontam.words(texts[r["doc_id"]]), set(), set()
         for item, t in items:
