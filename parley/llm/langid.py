@@ -35,6 +35,8 @@ TABLE_STATES = 600_000
 #: Characters of a text that training looks at.
 SAMPLE_CHARS = 20_000
 BLOCK = 2048
+#: A table of up to so many languages is broadcast, so that no text moves before it is picked; a larger one is joined.
+BROADCAST_LANGS = 10_000
 
 
 class Alphabet:
@@ -189,7 +191,9 @@ def train(docs: DataFrame, fold: int = 5, held_out: int = 0, symbols: int = TRAI
     place = F.pmod("place", F.lit(1 << 30))
     # of each language the share of its hash that holds 2.5 times the symbols, or up to its least hash
     some = learn.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min(place).alias("least"))
-    some = some.select(F.col("lang").alias("lang_"), F.greatest(F.least(F.lit(1.0), 2.5 * symbols / F.col("n")) * (1 << 30), "least").alias("share"))
+    some = some.select(F.col("lang").alias("lang_"), F.greatest(F.least(F.lit(1.0), 2.5 * symbols / F.col("n")) * (1 << 30), "least").alias("share")).collect()
+    side = docs.sparkSession.createDataFrame([tuple(r) for r in some], "lang_ string, share double")
+    some = F.broadcast(side) if len(some) <= BROADCAST_LANGS else side
     picked = learn.join(some, (F.col("lang") == F.col("lang_")) & (place <= F.col("share"))).select("lang", "place", "text").collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["place"], r["text"])):
