@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ class Plan:
     def __init__(self, cosine: float = 0.98, most: int = 1, seed: int = 77):
         self.cosine, self.seed = cosine, seed
         d = math.sqrt(2 - 2 * cosine)
-        self.width, self.window = CELL * d, WINDOW * d
+        self.width, self.window = CELL * d, np.float32(WINDOW * d + 1e-5)  # coordinates are rounded to 32 bits
         share = min(0.9, self.width / math.sqrt(4 * math.pi))  # of unlike vectors that share a cell of one line
         self.cuts = max(2, math.ceil(math.log(max(most, 2) / 2000) / -math.log(share)))
         stay = 1 - math.sqrt(2 / math.pi) / CELL
@@ -64,7 +65,7 @@ class Plan:
         return rng.standard_normal((dim, self.tables, self.cuts + 1)), rng.uniform(0, self.width, (self.tables, self.cuts))
 
     def places(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and sorted coordinate of each unit vector in each table."""
+        """Cell (32 bits, by which vectors are also brought together) and sorted coordinate of each unit vector in each table."""
         a, shift = self.lines(x.shape[1])
         y = np.tensordot(x, a, axes=1)
         cell = np.floor((y[:, :, :-1] + shift) / self.width).astype(np.int64).view(U64)
@@ -72,7 +73,7 @@ class Plan:
         with np.errstate(over="ignore"):
             for k in range(self.cuts):
                 key = mix64(key * U64(0x9E3779B97F4A7C15) + cell[:, :, k])
-        return key.view(np.int64), y[:, :, -1]
+        return (key >> U64(32)).astype(np.uint32).view(np.int32), y[:, :, -1].astype(np.float32)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -82,38 +83,44 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _places_udf(plan: Plan):
+def _places_udf(plan: Plan, kind: type):
+    """The vectors as bytes of their own precision, their cells, and their cells and coordinates as bytes."""
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for vectors in batches:
-            cells, at = [None] * len(vectors), [None] * len(vectors)
+            n = len(vectors)
+            packed, cells, at = [None] * n, [None] * n, [None] * n
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims).tolist():
                 where = np.flatnonzero(dims == dim)
-                key, y = plan.places(unit(np.stack([vectors.iloc[i] for i in where])))
-                for i, k, s in zip(where.tolist(), key, y, strict=True):
-                    cells[i], at[i] = k, s
-            yield pd.DataFrame({"cells": cells, "at": at})
+                x = np.stack([vectors.iloc[i] for i in where]).astype(kind)
+                key, y = plan.places(unit(x))
+                for i, v, k, s in zip(where.tolist(), x, key, y, strict=True):
+                    packed[i], cells[i], at[i] = v.tobytes(), k, k.tobytes() + s.tobytes()
+            yield pd.DataFrame({"v": packed, "cells": cells, "at": at})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "cells array<long>, at array<double>").asNondeterministic()
+    return F.pandas_udf(run, "v binary, cells array<int>, at binary").asNondeterministic()
 
 
 class _Units:
     """Compares the vectors of complete units: rows sorted by unit, then by the table's coordinate."""
 
-    def __init__(self, plan: Plan):
-        self.plan = plan
+    def __init__(self, plan: Plan, kind: type):
+        self.plan, self.kind = plan, kind
 
-    def __call__(self, part: pd.DataFrame) -> pd.DataFrame:
-        g = part["g"].to_numpy()
-        cells, at = np.stack(part["cells"].to_numpy()), np.stack(part["at"].to_numpy())
+    def __call__(self, part: pa.Table) -> pa.RecordBatch:
+        col = lambda c: part.column(c).to_numpy()
+        g, tables = col("g"), self.plan.tables
+        both = np.frombuffer(b"".join(part.column("at").to_pylist()), dtype=np.int32).reshape(len(g), 2 * tables)
+        cells, at = both[:, :tables], both[:, tables:].view(np.float32)
         s = at[np.arange(len(g)), g]
-        unit_of = (part[["key", "bi", "bj"]] != part[["key", "bi", "bj"]].shift()).any(axis=1).cumsum().to_numpy()
+        unit_of = _runs(part)
         order = np.lexsort((s, unit_of))
         g, cells, at, s, unit_of = g[order], cells[order], at[order], s[order], unit_of[order]
-        node, times, block = (part[c].to_numpy()[order] for c in ("node", "times", "block"))
-        cross = (part["bi"] != part["bj"]).to_numpy()[order]
-        vectors = part["embedding"].to_numpy()[order]
+        node, times, block = (col(c)[order] for c in ("node", "times", "block"))
+        cross = (col("bi") != col("bj"))[order]
+        vectors = part.column("v").take(pa.array(order)).to_pylist()
         us, vs = [], []
         live, k = np.arange(len(g)), 0
         while len(live):
@@ -134,34 +141,52 @@ class _Units:
         for lo in range(0, len(u), PAIRS // 8):
             a, b = u[lo : lo + PAIRS // 8], v[lo : lo + PAIRS // 8]
             names, back = np.unique(np.concatenate((a, b)), return_inverse=True)
-            x = unit(np.stack(vectors[names]))
+            # vectors of other lengths share no unit, but can share a batch
+            size = np.array([len(vectors[i]) for i in names])
+            x = np.zeros((len(names), size.max() // np.dtype(self.kind).itemsize))
+            for n in np.unique(size).tolist():
+                some = np.flatnonzero(size == n)
+                raw = np.frombuffer(b"".join(vectors[i] for i in names[some]), dtype=self.kind).reshape(len(some), -1)
+                x[some, : raw.shape[1]] = unit(raw)
             sure[lo : lo + len(a)] = (x[back[: len(a)]] * x[back[len(a) :]]).sum(axis=1) >= self.plan.cosine
         u, v = u[sure], v[sure]
-        if not len(u):
-            return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-        # equal nodes of several units are one
-        name, root = forest(node[u], node[v])
-        at_u, at_v = np.searchsorted(name, node[u]), np.searchsorted(name, node[v])
-        links = np.zeros(len(name), dtype=np.int64)
-        np.add.at(links, at_u, times[v])
-        np.add.at(links, at_v, times[u])
-        return pd.DataFrame({"node": name, "links": links, "root": root})
-
-
-def _stream(plan: Plan):
-    """Whole units from batches of rows sorted by unit."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compare, held = _Units(plan), None
+        name, links, root = np.zeros((3, 0), dtype=np.int64)
+        if len(u):
+            # equal nodes of several units are one
+            name, root = forest(node[u], node[v])
+            links = np.zeros(len(name), dtype=np.int64)
+            np.add.at(links, np.searchsorted(name, node[u]), times[v])
+            np.add.at(links, np.searchsorted(name, node[v]), times[u])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (name, links, root)], names=["node", "links", "root"])
+
+
+def _runs(part: pa.Table) -> np.ndarray:
+    """A number for each run of rows of one unit."""
+    change = np.zeros(part.num_rows, dtype=bool)
+    for c in ("key", "bi", "bj"):
+        x = part.column(c).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.cumsum(change)
+
+
+def _stream(plan: Plan, kind: type):
+    """Whole units from batches of rows sorted by unit; only the last unit, which may go on, is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare, held = _Units(plan, kind), []
         for batch in batches:
-            held = batch if held is None else pd.concat((held, batch), ignore_index=True)
-            last = held[["key", "bi", "bj"]].iloc[-1]
-            open_ = ((held["key"] == last["key"]) & (held["bi"] == last["bi"]) & (held["bj"] == last["bj"])).to_numpy()
-            if not open_.all():
-                yield compare(held[~open_].reset_index(drop=True))
-                held = held[open_].reset_index(drop=True)
-        if held is not None and len(held):
-            yield compare(held)
+            if not batch.num_rows:
+                continue
+            runs = _runs(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch] if held else [batch]))[1 if held else 0 :]
+            first = int(np.searchsorted(runs, runs[-1]))  # where the last unit of this batch begins
+            if runs[-1] == 0 and held:
+                held.append(batch)  # it all belongs to the unit that is held
+                continue
+            if held or first:
+                yield compare(pa.Table.from_batches([*held, batch.slice(0, first)]))
+            held = [batch.slice(first)]
+        if held:
+            yield compare(pa.Table.from_batches(held))
 
     return run
 
@@ -179,7 +204,8 @@ def linked(vectors: DataFrame, cosine: float = 0.98, seed: int = 77) -> DataFram
     classes = settle(classes)
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     plan = Plan(cosine, most, seed)
-    placed = classes.select("node", "label", "embedding", "times", _places_udf(plan)("embedding").alias("p")).select("node", "label", "embedding", "times", "p.cells", "p.at")
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    placed = classes.select("node", "label", "times", _places_udf(plan, kind)("embedding").alias("p")).select("node", "label", "times", "p.v", "p.cells", "p.at")
     placed = settle(placed)
     key = F.xxhash64("label", "g", "cell").alias("key")
     narrow = placed.select("node", "label", F.posexplode("cells").alias("g", "cell")).select(key)
@@ -187,8 +213,8 @@ def linked(vectors: DataFrame, cosine: float = 0.98, seed: int = 77) -> DataFram
     x = placed.select("*", F.posexplode("cells").alias("g", "cell")).withColumn("key", key).drop("label", "cell").join(full, "key")
     x = x.withColumn("block", F.pmod(F.xxhash64("node", "g"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     x = x.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    x = x.select("key", "bi", "bj", "block", "g", "node", "times", "embedding", "cells", "at")
-    found = settle(x.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInPandas(_stream(plan), "node long, links long, root long"))
+    x = x.select("key", "bi", "bj", "block", "g", "node", "times", "v", "at")
+    found = settle(x.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_stream(plan, kind), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.select("node", "rep", "times").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
