@@ -261,7 +261,7 @@ def test_cross_parsing_by_trying_every_length():
             assert langs[i] == model.langs[int(np.argmin(np.round(cost, 9)))]
 
 
-def test_languages_of_several_scripts_and_long_texts(spark):
+def test_languages_of_several_scripts_and_long_texts(spark, monkeypatch):
     rng = random.Random(7)
     words = {"en": "the quick brown fox and dog".split(), "ru": "быстрая рыжая лиса и пёс".split(), "zh": list("的一是不了人我在有他这中大来上"), "ja": list("のにはをたがでてとしれさある"), "ko": "그리고 나는 너를 사랑해 정말".split()}
     rows = [(i, " ".join(rng.choice(words[k]) for _ in range(40)), k) for i, k in enumerate([k for k in words for _ in range(30)])]
@@ -270,6 +270,9 @@ def test_languages_of_several_scripts_and_long_texts(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(d)
     assert model.langs == sorted([*words, "el"])
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", 0)
+    again = langid.train(d)
+    assert again.langs == model.langs and np.array_equal(again.table, model.table)
     got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(d, model).collect()}
     assert all(got[i] == k for i, _, k in rows if k not in ("xx", "yy")) and got[1001] == got[1002] == "und"
 
