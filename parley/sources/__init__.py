@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, records: int = 512) -> None:
+    """Arrow batches of at most 512 rows and 16 MB for the session, as a lazy plan runs under what holds then; smaller values of the caller stay.
+
+    By default a batch holds 10,000 rows: of texts, hundreds of MB for each task, in the JVM and in its Python worker.
+    """
+    for name, most in (("maxRecordsPerBatch", records), ("maxBytesPerBatch", 16 << 20)):
+        have = str(spark.conf.get(f"spark.sql.execution.arrow.{name}")).removesuffix("b")
+        if not (have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", most)
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as a reply chain: id is conversation.turn, each turn replies to the one before."""
     c = table(spark, sf_dir, "conversations")
